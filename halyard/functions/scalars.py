@@ -105,9 +105,17 @@ def tokens(text: Cols) -> Column:
 
 
 def word_ngrams(words: Cols, n: int) -> Column:
-    """Runs of n words, joined by spaces."""
+    """Runs of n words, joined by spaces.
+
+    Shifted slices are zipped, so the words are computed a few times a row; indexing them inside a lambda
+    would compute them again for every run.
+    """
     w = col(words)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(w) - (n - 1), F.lit(0))
+    grams = F.slice(w, 1, count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(w, k + 1, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def char_ngrams(words: Cols, n: int) -> Column:

@@ -1 +1,31 @@
-"""Queries."""
+"""Queries on event time: the batch form of the streaming operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from halyard.plans.registry import query
+from halyard.sources.domain import table
+from halyard.streaming import events as E
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.windowed(table(spark, sf_dir, "events"))
+
+
+@query("WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY ALL")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.windowed(table(spark, sf_dir, "events"), "2 days", "1 day")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY ALL")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").dropDuplicates(["user_id", "event_type", "ts"])
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

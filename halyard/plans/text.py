@@ -1 +1,129 @@
-"""Queries."""
+"""Queries on text: tokens, n-grams, weights, retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from halyard.functions import scalars as S
+from halyard.operators import retrieval as R
+from halyard.plans.registry import query
+from halyard.sources.domain import table
+
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.,]\p{N}+)?')"
+TF = f"WITH words AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL)"
+WEIGHTS = TF + """, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+size AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM raw GROUP BY 1), weights AS (SELECT doc_id, term, w / size AS w FROM raw JOIN size USING (doc_id))"""
+COSINE = WEIGHTS + """, cosine AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.w * d.w), 9) AS score FROM weights q JOIN weights d USING (term) WHERE q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id GROUP BY ALL)"""
+BM25 = """, sizes AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes), rawidf AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, corpus),
+idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM rawidf) ELSE r END AS idf FROM rawidf),
+bm25 AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN sizes ON sizes.doc_id = d.doc_id, corpus WHERE q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id GROUP BY ALL)"""
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tfidf(R.terms(docs(spark, sf_dir)), docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_types FROM documents")
+def sc10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = S.tokens("text")
+    return docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_types"))
+
+
+@query(f"SELECT gram, count(*) AS n FROM (SELECT unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM (SELECT {TOKENS} AS w FROM documents)) GROUP BY 1 ORDER BY n DESC, gram LIMIT 100")
+def sc11_word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = docs(spark, sf_dir).select(F.explode(S.word_ngrams(S.tokens("text"), 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+
+
+@query(f"WITH w AS (SELECT ' ' || unnest({TOKENS}) || ' ' AS w FROM documents), g AS (SELECT CASE WHEN length(w) <= 3 THEN w ELSE substr(w, i, 3) END AS gram FROM (SELECT w, unnest(range(1, greatest(2, length(w) - 1))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 100")
+def sc11_char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams of each distinct word once, times how often it occurs."""
+    words = docs(spark, sf_dir).select(F.explode(S.tokens("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    grams = words.select("c", F.explode(S.char_ngrams(F.array("w"), 3)).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+
+
+@query(WEIGHTS + " SELECT doc_id, count(*) AS n, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM weights GROUP BY 1")
+def sc12_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("w"), 6).alias("top"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query(COSINE + f", b AS (SELECT query_id, cosine.doc_id, score + CASE WHEN q.source = d.source THEN 0.08 ELSE 0 END + CASE WHEN q.lang = d.lang THEN 0.05 ELSE 0 END AS score FROM cosine JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = cosine.doc_id) SELECT query_id, doc_id, round(score, 6) AS score, {RANK} AS rank FROM b WHERE score >= 0.2 QUALIFY rank <= 5")
+def pl01_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine with a boost for equal facets, rejected below 0.2."""
+    facets = docs(spark, sf_dir).select("doc_id", "source", "lang")
+    own = facets.select(F.col("doc_id").alias("query_id"), F.col("source").alias("s"), F.col("lang").alias("l"))
+    rows = R.cosine(weights(spark, sf_dir)).join(facets, "doc_id").join(own, "query_id")
+    boosted = F.col("score") + F.when(F.col("source") == F.col("s"), 0.08).otherwise(0.0) + F.when(F.col("lang") == F.col("l"), 0.05).otherwise(0.0)
+    scored = rows.select("query_id", "doc_id", boosted.alias("score")).where("score >= 0.2")
+    return R.best(scored, 5).withColumn("score", F.round("score", 6))
+
+
+@query(WEIGHTS + BM25 + f" SELECT query_id, doc_id, round(score, 3) AS score, {RANK} AS rank FROM bm25 QUALIFY rank <= 5")
+def pl02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.best(R.bm25(R.terms(docs(spark, sf_dir))), 5).withColumn("score", F.round("score", 3))
+
+
+@query(COSINE + f", g AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS g FROM documents), f AS (SELECT c.* FROM cosine c JOIN g a ON a.doc_id = c.doc_id JOIN g b ON b.doc_id = c.query_id WHERE a.g <> b.g) SELECT query_id, doc_id, {RANK} AS rank FROM f QUALIFY rank <= 5")
+def wn12_other_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = docs(spark, sf_dir).select("doc_id", S.fingerprint(S.normalised("text"), 64).alias("group"))
+    return R.distinct_groups(R.cosine(weights(spark, sf_dir)), groups, 5).drop("score")
+
+
+@query(COSINE + BM25 + f", a AS (SELECT query_id, doc_id, {RANK} AS rank FROM cosine QUALIFY rank <= 20), b AS (SELECT query_id, doc_id, {RANK} AS rank FROM bm25 QUALIFY rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, doc_id, round(score, 6) AS score, {RANK} AS rank FROM f QUALIFY rank <= 5")
+def wn13_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = R.terms(docs(spark, sf_dir))
+    return R.best(R.fused(R.best(R.cosine(weights(spark, sf_dir)), 20), R.best(R.bm25(tf), 20)), 5).withColumn("score", F.round("score", 6))
+
+
+@query(COSINE + " SELECT query_id, doc_id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) AS score FROM cosine WINDOW w AS (PARTITION BY query_id)")
+def wn14_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.minmax(R.cosine(weights(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+METRICS = """, rr AS (SELECT r.query_id, r.rank, CAST(d.label = q.label AS INT) AS rel FROM ranked r JOIN l d ON d.id = r.doc_id JOIN l q ON q.id = r.query_id),
+m AS (SELECT query_id, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS hit1, max(CASE WHEN rank <= 3 THEN rel ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS hit5, sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) / 1 AS precision1,
+ sum(CASE WHEN rank <= 3 THEN rel ELSE 0 END) / 3 AS precision3, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5 AS precision5, coalesce(max(CASE WHEN rel = 1 THEN 1 / rank END), 0) AS rr, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS n_rel FROM rr GROUP BY 1),
+i AS (SELECT k, sum(1 / log2(k + 1)) OVER (ORDER BY k) AS ideal FROM (SELECT unnest(range(1, 11)) AS k))
+SELECT round(avg(hit1), 6) AS hit1, round(avg(hit3), 6) AS hit3, round(avg(hit5), 6) AS hit5, round(avg(precision1), 6) AS precision1, round(avg(precision3), 6) AS precision3, round(avg(precision5), 6) AS precision5, round(avg(rr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg10 FROM m JOIN i ON i.k = least(10, greatest(1, n_rel))"""
+
+
+@query(COSINE + f", ranked AS (SELECT query_id, doc_id, {RANK} AS rank FROM cosine QUALIFY rank <= 10), l AS (SELECT doc_id AS id, source AS label FROM documents)" + METRICS)
+def ag31_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.metrics(R.best(R.cosine(weights(spark, sf_dir)), 10), docs(spark, sf_dir).select("doc_id", F.col("source").alias("label")))
+
+
+@query(WEIGHTS + ", m AS (SELECT lang, term, round(sum(w) / any_value(n), 9) AS w FROM weights JOIN documents USING (doc_id) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang) WHERE length(term) > 3 GROUP BY lang, term) SELECT lang, term, round(w, 6) AS w, row_number() OVER (PARTITION BY lang ORDER BY w DESC, term) AS rank FROM m QUALIFY rank <= 18")
+def ag37_distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = docs(spark, sf_dir).select("doc_id", "lang")
+    sizes = labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sums = weights(spark, sf_dir).where(F.length("term") > 3).join(labels, "doc_id").groupBy("lang", "term").agg(F.sum("w").alias("s"))
+    means = sums.join(sizes, "lang").select("lang", "term", F.round(F.col("s") / F.col("n"), 9).alias("w"))
+    own = Window.partitionBy("lang").orderBy(F.desc("w"), "term")
+    return means.withColumn("rank", F.row_number().over(own).cast("long")).where("rank <= 18").withColumn("w", F.round("w", 6))
+
+
+@query(WEIGHTS + " SELECT doc_id, term, rank FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM weights WHERE length(term) > 2) WHERE rank <= 3")
+def pl21_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 9)), "term")
+    return weights(spark, sf_dir).where(F.length("term") > 2).select("doc_id", "term", F.row_number().over(own).cast("long").alias("rank")).where("rank <= 3")
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 6) AS ratio FROM n x JOIN n y ON x.a < y.a AND left(x.a, 2) = left(y.a, 2) AND abs(length(x.a) - length(y.a)) <= 3 WHERE 1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)) >= 0.6")
+def jn14_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names at an edit ratio of 0.6 or more, within blocks of the first two letters."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.substring("p_name", 1, 2).alias("block")).distinct()
+    other = names.withColumnRenamed("a", "b")
+    pairs = names.join(other, "block").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 3))
+    return pairs.select("a", "b", F.round(S.edit_ratio("a", "b"), 6).alias("ratio")).where(S.edit_ratio("a", "b") >= 0.6)
+
+
+@query("SELECT page_id, regexp_matches(html, '(?i)password|secret|token') AS leak, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def sc25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike("(?i)password|secret|token").alias("leak"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
