@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-for _name in ("analytics", "process", "profile", "records", "text", "vectors", "decisions", "splits", "composites", "estimators", "streams"):
+for _name in ("analytics", "process", "profile", "records", "text", "vectors", "decisions", "splits", "composites", "sources", "estimators", "streams"):
     importlib.import_module(f"halyard.plans.{_name}")
