@@ -28,10 +28,11 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_ROWS = 8_000
 ROUNDS = 2
 FLOOR = 0.05  # pseudo-count of each piece in each language
-KEPT_WORDS = 300_000
+KEPT_CHUNKS = 600_000
 WORD_LETTERS = 24  # longer runs are scored in parts of this length
 UNKNOWN = "und"
-LETTER = regex.compile(r"\p{L}")
+#: ASCII letters in lower case; other ASCII characters part words; bytes beyond ASCII stay.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -50,21 +51,23 @@ class Lattice:
     def __init__(self, vocabulary: list[str]):
         self.index = {p: i for i, p in enumerate(vocabulary)}
         self.unknown = len(vocabulary)
-        self.longest = max(map(len, vocabulary))
+        self.starts = {p[:n] for p in vocabulary for n in range(2, len(p) + 1)}
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, from, to, piece) of every piece occurrence, sorted by where it ends."""
-        get = self.index.get
-        out: list[tuple[int, int, int, int]] = []
+        get, starts, unknown = self.index.get, self.starts, self.unknown
+        out: list[int] = []
         for k, w in enumerate(words):
             n = len(w)
             for i in range(n):
-                single = get(w[i])
-                out.append((k, i, i + 1, self.unknown if single is None else single))
-                for j in range(i + 2, min(n, i + self.longest) + 1):
-                    piece = get(w[i:j])
+                out += (k, i, i + 1, get(w[i], unknown))
+                for j in range(i + 2, n + 1):
+                    part = w[i:j]
+                    if part not in starts:
+                        break
+                    piece = get(part)
                     if piece is not None:
-                        out.append((k, i, j, piece))
+                        out += (k, i, j, piece)
         table = np.array(out, dtype=np.int64).reshape(-1, 4)
         return tuple(table.T)
 
@@ -112,14 +115,30 @@ def add_rows(target: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         target[:, k] += np.bincount(at, weights=values[:, k], minlength=len(target))
 
 
-def words_of(text: bytes | None) -> list[str]:
-    """Runs of letters in lower case, long runs in parts."""
-    found = WORD.findall((text or b"").decode("utf-8").lower())
+def chunks_of(text: bytes | None) -> list[bytes]:
+    """Stretches of a text between ASCII characters that are no letters, in ASCII lower case."""
+    return (text or b"").translate(FOLD).split()
+
+
+def words_of(chunk: bytes) -> list[str]:
+    """Runs of letters of a chunk in lower case, long runs in parts."""
+    if chunk.isalpha():
+        found = [chunk.decode()]
+    else:
+        found = WORD.findall(chunk.decode("utf-8").lower())
     if any(len(w) > WORD_LETTERS for w in found):
         found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
     return found
 
 
+def by_word(chunks: Counter) -> Counter:
+    out: Counter = Counter()
+    for c, n in chunks.items():
+        for w in words_of(c):
+            out[w] += n
+    return out
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the pieces x languages matrix of probabilities.
 
@@ -148,7 +167,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
             for part in portions(rows_of(batches, "text", "lang"), 8 << 20, 0):
                 counts = [Counter() for _ in langs]
                 for text, lang in part:
-                    counts[place[lang]].update(words_of(text))
+                    counts[place[lang]].update(chunks_of(text))
+                counts = [by_word(c) for c in counts]
                 words = sorted(set().union(*counts))
                 for at in range(0, len(words), 5000):
                     some = words[at : at + 5000]
@@ -166,37 +186,54 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
 
 
 class Scorer:
-    """Scores of texts, with a bounded store of words."""
+    """Scores of texts, with a bounded store of chunks. Row 0 is for chunks without a letter."""
 
     def __init__(self, lattice: Lattice, p: np.ndarray):
         self.lattice, self.p = lattice, p
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.used = 1
         self.table = np.zeros((1 << 14, p.shape[1]))
 
+    def learn(self, chunks: list[bytes]) -> None:
+        split = [words_of(c) for c in chunks]
+        owner = [k for k, own in enumerate(split) for _ in own]
+        words = [w for own in split for w in own]
+        scores = np.zeros((len(chunks), self.p.shape[1]))
+        if words:
+            add_rows(scores, np.array(owner, dtype=np.int64), self.lattice.forward(words, self.p))
+        lettered = np.array([bool(own) for own in split])
+        n = int(lettered.sum())
+        if self.used + n > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), self.used + n), self.table.shape[1]))
+            grown[: self.used] = self.table[: self.used]
+            self.table = grown
+        rows = np.zeros(len(chunks), dtype=np.int64)
+        rows[lettered] = np.arange(self.used, self.used + n)
+        self.table[rows[lettered]] = scores[lettered]
+        self.used += n
+        self.place.update(zip(chunks, rows.tolist(), strict=True))
+
     def best(self, texts: list[bytes | None]) -> list[tuple[int, float] | None]:
         """The likeliest language of each text and its posterior; None without a letter."""
-        split = [words_of(t) for t in texts]
+        if not self.p.shape[1]:
+            return [None] * len(texts)
+        split = [chunks_of(t) for t in texts]
         place = self.place
-        new = {w for own in split for w in own if w not in place}
-        if len(place) + len(new) > KEPT_WORDS:
+        new = {c for own in split for c in own if c not in place}
+        if len(place) + len(new) > KEPT_CHUNKS:
             place.clear()
-            new = {w for own in split for w in own}
-        new = sorted(new)
-        if len(place) + len(new) > len(self.table):
-            grown = np.zeros((max(2 * len(self.table), len(place) + len(new)), self.table.shape[1]))
-            grown[: len(place)] = self.table[: len(place)]
-            self.table = grown
-        for at in range(0, len(new), 5000):
-            some, first = new[at : at + 5000], len(place)
-            if self.table.shape[1]:
-                self.table[first : first + len(some)] = self.lattice.forward(some, self.p)
-            place.update(zip(some, range(first, first + len(some)), strict=True))
+            self.used = 1
+            new = {c for own in split for c in own}
+        ordered = sorted(new)
+        for at in range(0, len(ordered), 5000):
+            self.learn(ordered[at : at + 5000])
         out: list[tuple[int, float] | None] = []
-        for words in split:
-            if not words or not self.table.shape[1]:
+        for own in split:
+            rows = np.fromiter(map(place.__getitem__, own), dtype=np.int64, count=len(own))
+            if not rows.any():
                 out.append(None)
                 continue
-            total = self.table[np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            total = self.table[rows].sum(axis=0)
             top = int(np.argmax(total))
             out.append((top, float(1 / np.exp(total - total[top]).sum())))
         return out
