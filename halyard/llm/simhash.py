@@ -253,3 +253,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingles(text: bytes | None, shingle: int) -> set[int]:
+    words = (text or b"").lower().split()
+    if len(words) <= shingle:
+        return {xxhash.xxh64_intdigest(b" ".join(words), SEED)} if words else set()
+    buffer, starts, ends = word_spans(words)
+    return {xxhash.xxh64_intdigest(buffer[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)}
+
+
+def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
+    """Jaccard similarity of the shingle sets; 1 for two texts without words."""
+    x, y = shingles(a, shingle), shingles(b, shingle)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def representatives(docs: DataFrame, shingle: int = 5, max_bits: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` of the documents that stay: links by fingerprint, then an exact check of texts.
+
+    Of documents with one fingerprint the smallest id stays. A fingerprint goes altogether if it is not
+    the one of its component's smallest id and the two texts have a similarity of ``least`` or more; so
+    fingerprints that are near by chance, or over a chain of links only, stay. A null id stays only if
+    its fingerprint has no other.
+    """
+    marked = cut(fingerprints(docs, shingle, id_col, text_col))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes.select("fp"), max_bits))
+    rooted = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp").where("least IS NOT NULL"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    pairs = cut(rooted.join(heads, "root").where("least <> head").select("fp", "least", "head"))
+    asked = pairs.select(F.col("least").alias("doc_id")).unionAll(pairs.select("head")).distinct()
+    texts = cut(utf8(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("doc_id").alias("least"), F.col("text").alias("a")), "least").join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("b")), "head")
+    schema = pa.schema([("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from bounded(((fp,) for fp, a, b in rows_of(batches, "fp", "a", "b") if similarity(a, b, shingle) >= least), schema)
+
+    gone = both.select("fp", "a", "b").mapInArrow(run, "fp long")
+    return cut(nodes.join(gone, "fp", "left_anti").select(F.col("least").alias("doc_id")))
