@@ -97,3 +97,20 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     found = S.components(edges)
     assert found.select("root").distinct().count() == 1 and found.count() == 301
+
+
+def test_representatives_keep_what_is_not_similar(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    near = base[:]
+    near[200] = "changed"
+    other = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = [(5, " ".join(base)), (3, " ".join(base)), (4, " ".join(near)), (6, " ".join(other)), (7, None), (8, ""), (9, "short text"), (None, " ".join(base))]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, fp string")
+    kept = sorted(r["doc_id"] for r in S.representatives(docs).collect())
+    bits = (S.fingerprint(rows[0][1].encode(), 5) ^ S.fingerprint(rows[2][1].encode(), 5)).bit_count()
+    assert bits <= 10 and S.similarity(rows[0][1].encode(), rows[2][1].encode(), 5) > 0.95
+    assert kept == [3, 6, 7, 9]
+    # far texts stay even where the links are so loose that all are one component
+    assert {3, 6, 9} <= {r["doc_id"] for r in S.representatives(docs, max_bits=40).collect()}
+    assert S.representatives(docs.limit(0)).count() == 0
