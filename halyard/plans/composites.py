@@ -13,7 +13,7 @@ from halyard.plans.registry import query
 from halyard.sources.domain import TICKETS, predictions, predictions_sql, table, tickets
 
 
-@query(DECIDED + " SELECT row_id, round(least(0.4 * CAST(confidence < 0.5 AS INT) + 0.25 * CAST(row_id % 7 = 0 AS INT) + 0.2 * CAST(margin < 0.1 AS INT) + 0.15 * CAST(row_id % 11 = 0 AS INT), 1), 3) AS priority FROM d")
+@query(DECIDED + " SELECT row_id, CAST(round(least(0.4 * CAST(confidence < 0.5 AS INT) + 0.25 * CAST(row_id % 7 = 0 AS INT) + 0.2 * CAST(margin < 0.1 AS INT) + 0.15 * CAST(row_id % 11 = 0 AS INT), 1), 3) AS DOUBLE) AS priority FROM d")
 def sc17_learning_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("row_id", P.learning_priority(F.col("confidence") < 0.5, F.col("row_id") % 7 == 0, F.col("margin"), F.col("row_id") % 11 == 0).alias("priority"))
 

@@ -61,7 +61,7 @@ def sc01_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 DURATIONS = "('00:00:00'), ('24:00:00'), ('217:23:03'), ('0.5'), ('86400'), ('n/a'), ('-1'), (NULL)"
 
 
-@query("SELECT CAST(v AS VARCHAR) AS value, s AS seconds, t AS text FROM (VALUES ('00:00:00', 0, '00:00:00'), ('24:00:00', 86400, '24:00:00'), ('217:23:03', 782583, '217:23:03'), ('0.5', 43200, '12:00:00'), ('86400', 86400, '24:00:00'), ('n/a', NULL, NULL), ('-1', NULL, NULL), (NULL, NULL, NULL)) x(v, s, t)")
+@query("SELECT CAST(v AS VARCHAR) AS value, CAST(s AS BIGINT) AS seconds, t AS text FROM (VALUES ('00:00:00', 0, '00:00:00'), ('24:00:00', 86400, '24:00:00'), ('217:23:03', 782583, '217:23:03'), ('0.5', 43200, '12:00:00'), ('86400', 86400, '24:00:00'), ('n/a', NULL, NULL), ('-1', NULL, NULL), (NULL, NULL, NULL)) x(v, s, t)")
 def sc02_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT * FROM VALUES {DURATIONS} AS x(value)").withColumn("seconds", S.duration_seconds("value"))
     return rows.withColumn("text", S.human_duration("seconds"))

@@ -78,7 +78,7 @@ def dml8_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TICKETS} SELECT request_id, concat_ws(',', CASE WHEN line1 > 0 THEN 'line1' END, CASE WHEN line2 > 0 THEN 'line2' END, CASE WHEN line3 > 0 THEN 'line3' END) AS available,
-round(least(1, 0.5 * CAST(overdue AS INT) + 0.3 * CASE WHEN clarifications >= 6 THEN 1 ELSE 0 END + 0.4 * CASE WHEN duration_seconds IS NULL THEN 1 ELSE 0 END), 6) AS learning_priority FROM tickets""")
+CAST(round(least(1, 0.5 * CAST(overdue AS INT) + 0.3 * CASE WHEN clarifications >= 6 THEN 1 ELSE 0 END + 0.4 * CASE WHEN duration_seconds IS NULL THEN 1 ELSE 0 END), 6) AS DOUBLE) AS learning_priority FROM tickets""")
 def dml9_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     available = F.filter(F.array(*(F.when(F.col(f"line{i}") > 0, F.lit(f"line{i}")) for i in (1, 2, 3))), lambda x: x.isNotNull())
     score = 0.5 * F.col("overdue").cast("int") + 0.3 * (F.col("clarifications") >= 6).cast("int") + 0.4 * F.col("duration_seconds").isNull().cast("int")
