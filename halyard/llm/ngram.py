@@ -112,9 +112,8 @@ class Batch:
         cuts = tally.cuts_of(self.keys, bits)
         kept, deleted = np.zeros(len(self.keys), dtype=np.int64), np.zeros(len(self.keys), dtype=np.int64)
         for part, answer in tally.answers_in_order(answers):
-            if part >= 0:
-                s, e = int(cuts[part]), int(cuts[part + 1])
-                kept[self.order[s:e]], deleted[self.order[s:e]] = unpack_two(answer, e - s)
+            s, e = int(cuts[part]), int(cuts[part + 1])
+            kept[self.order[s:e]], deleted[self.order[s:e]] = unpack_two(answer, e - s)
         return (kept[: self.types], deleted[: self.types]), (kept[self.types :], deleted[self.types :])
 
 
@@ -187,7 +186,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     """
     fold = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), fold.alias("fold"))
-    placed, n, total = tally.batches(rows, batch_bytes=batch_bytes)
+    placed, _, total = tally.batches(rows, batch_bytes=batch_bytes)
     bits = tally.part_bits(total // 9)
 
     def read(table: pa.Table) -> tuple[Batch, pa.Array, np.ndarray]:
@@ -200,8 +199,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
 
     def deleted_cells(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["batch", "q1", "q2", "n"]
-        if not len(table):
-            return pa.table([pa.array([], type=pa.int64())] * 4, names=names)
         own = read(table)[0]
         (word, _), (pair, _) = own.told(answers, bits)
         token = np.repeat(own.deleted, own.lengths)
@@ -213,7 +210,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
 
     def final(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         own, ids, folds = read(table)
-        model = next(a for p, a in tally.answers_in_order(answers) if p == -1)
+        model = table["model"][0].as_py()
         _, _, tokens, types = np.frombuffer(model, dtype="<i8", count=4).tolist()
         w = np.frombuffer(model, dtype="<f8", offset=32).reshape(-1, 3)
         one, two = own.told(answers, bits)
@@ -233,19 +230,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
         }
         return pa.table(columns)
 
+    # one exchange of texts and one of answers, which all uses below share
+    placed = placed.repartition("batch")
     by_batch = placed.groupBy("batch")
     answers = by_batch.applyInArrow(ask, tally.ASK).groupBy("part").applyInArrow(reply, ANSWER)
-    cells = by_batch.cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(deleted_cells, "batch long, q1 long, q2 long, n long")
+    told = answers.where("batch >= 0").groupBy("batch")
+    cells = by_batch.cogroup(told).applyInArrow(deleted_cells, "batch long, q1 long, q2 long, n long")
     cells = cells.groupBy("batch", "q1", "q2").agg(F.sum("n").alias("n"))
     totals = answers.where("batch = -1").select(F.col("batch").cast("long").alias("batch"), "answer")
     model = cells.unionByName(totals, allowMissingColumns=True).groupBy().applyInArrow(fitted, "model binary")
-    told = model.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("batch"), F.lit(-1).alias("part"), F.col("model").alias("answer"))
+    modelled = placed.join(F.broadcast(model)).groupBy("batch")  # the model is one row of fixed size
     result = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    scored = by_batch.cogroup(answers.where("batch >= 0").unionByName(told).groupBy("batch")).applyInArrow(lambda k, a, b: final(k, a, b) if len(a) else empty(result), result)
-    return scored
-
-
-def empty(schema: T.StructType) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema).empty_table()
+    return modelled.cogroup(told).applyInArrow(final, result)
