@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import bounded, rows_of, signed, utf8, word_spans
@@ -41,16 +41,17 @@ SEARCH_PAIRS = 4 << 20  # a block of searches visits at most so many leaves at o
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     """The unsigned SimHash of a text; zero if it has no words."""
+    return vote(np.array(hashed(text, shingle), dtype=np.uint64))
+
+
+def hashed(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 of each run of so many words, or of all words if there are no more."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        buffer, starts, ends = word_spans(words)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(buffer[s:e], SEED) for s, e in zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    return vote(np.array(hashes, dtype=np.uint64))
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
+    buffer, starts, ends = word_spans(words)
+    digest = xxhash.xxh64_intdigest
+    return [digest(buffer[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
 
 
 def vote(hashes: np.ndarray) -> int:
@@ -181,6 +182,36 @@ def partition_links(nodes: np.ndarray, codes: np.ndarray, max_bits: int) -> tupl
     return codes[member], codes[labels.of[member]]
 
 
+def partition_pairs(kinds: np.ndarray, nodes: np.ndarray, codes: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (code, code) within ``max_bits`` below the upper nodes of one partition, each at the first node it has."""
+    masks = np.array(block_masks(max_bits), dtype=np.uint64)
+    order = np.lexsort((gray_rank(codes), nodes, kinds))
+    kinds, nodes, codes = kinds[order], nodes[order], codes[order]
+    starts = np.flatnonzero(np.r_[True, (nodes[1:] != nodes[:-1]) | (kinds[1:] != kinds[:-1])]) if len(nodes) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(nodes)])
+
+    def first(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart, new = codes[a] ^ codes[b], np.ones(len(a), dtype=bool)
+        for k in range(int(kinds[a].max(initial=0))):
+            new &= (kinds[a] <= k) | ((apart & masks[k]) != 0)
+        return codes[a[new]], codes[b[new]]
+
+    small = np.flatnonzero(np.repeat(sizes <= LEAF_BUCKET, sizes))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
+    for shift in range(1, LEAF_BUCKET):
+        small = small[left[small] > shift]
+        if not len(small):
+            break
+        near = small[np.bitwise_count(codes[small] ^ codes[small + shift]) <= max_bits]
+        yield first(near, near + shift)
+    for s, n in zip(starts[sizes > LEAF_BUCKET].tolist(), sizes[sizes > LEAF_BUCKET].tolist(), strict=True):
+        tree, apart = GrayTree(codes[s : s + n]), np.arange(n)
+        block = max(1, min(QUERY_BLOCK, SEARCH_PAIRS // n))
+        for at in range(0, n, block):
+            q, item = tree.search(np.arange(at, min(at + block, n)), max_bits, apart)
+            yield first(s + q[q < item], s + item[q < item])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of each row as a signed long."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -210,6 +241,25 @@ def links(codes: DataFrame, max_bits: int = 4) -> DataFrame:
     return placed.repartition(parts, "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def pairs(codes: DataFrame, max_bits: int) -> DataFrame:
+    """``a, b``: every pair of the distinct fingerprints in ``codes.fp`` within ``max_bits``, once."""
+    masks = F.array(*(F.lit(signed(m)) for m in block_masks(max_bits)))
+    placed = codes.select("fp", F.posexplode(masks).alias("kind", "mask")).select(F.col("kind").cast("long").alias("kind"), F.xxhash64("kind", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), "fp")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [(b.column("kind").to_numpy(), b.column("node").to_numpy(), b.column("fp").to_numpy()) for b in batches]
+        if not read:
+            return
+        kind, node, fp = (np.concatenate(x) for x in zip(*read, strict=True))
+        for found in partition_pairs(kind, node, fp.view(np.uint64), max_bits):
+            for at in range(0, len(found[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + 100_000]).view(np.int64)) for x in found], schema=schema)
+
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "node").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root``: a common root for all nodes that edges (a, b) connect.
 
@@ -256,11 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
 
 
 def shingles(text: bytes | None, shingle: int) -> set[int]:
-    words = (text or b"").lower().split()
-    if len(words) <= shingle:
-        return {xxhash.xxh64_intdigest(b" ".join(words), SEED)} if words else set()
-    buffer, starts, ends = word_spans(words)
-    return {xxhash.xxh64_intdigest(buffer[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)}
+    return set(hashed(text, shingle))
 
 
 def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
@@ -269,27 +315,81 @@ def similarity(a: bytes | None, b: bytes | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def text_key(text: Column) -> Column:
+    """Sixteen bytes that are equal for texts with the same words, whatever their case (ASCII) and spacing."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), letters.upper(), letters)
+    return F.unhex(F.md5(F.trim(F.regexp_replace(plain, r"[ \t\n\x0B\f\r]+", " "))))
+
+
 def representatives(docs: DataFrame, shingle: int = 5, max_bits: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` of the documents that stay: links by fingerprint, then an exact check of texts.
+    """``doc_id, key`` of the texts that stay: candidates by fingerprint, then an exact check of texts.
 
-    Of documents with one fingerprint the smallest id stays. A fingerprint goes altogether if it is not
-    the one of its component's smallest id and the two texts have a similarity of ``least`` or more; so
-    fingerprints that are near by chance, or over a chain of links only, stay. A null id stays only if
-    its fingerprint has no other.
+    Texts with one key are copies, and the smallest id stays; a null id comes after all others. A text
+    goes if a text that stays has a smaller id and a similarity of ``least`` or more to it, and no two
+    texts that stay are within ``max_bits`` and as similar as that. Groups that fingerprints link are
+    first compared with their smallest id; then all pairs within ``max_bits`` of what is left are.
     """
-    marked = cut(fingerprints(docs, shingle, id_col, text_col))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), max_bits))
-    rooted = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp").where("least IS NOT NULL"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
-    pairs = cut(rooted.join(heads, "root").where("least <> head").select("fp", "least", "head"))
-    asked = pairs.select(F.col("least").alias("doc_id")).unionAll(pairs.select("head")).distinct()
-    texts = cut(utf8(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("least"), F.col("text").alias("a")), "least").join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("b")), "head")
-    schema = pa.schema([("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("fp", pa.int64()), ("n", pa.int64())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, k, hashed(t, shingle)) for i, k, t in rows_of(batches, "doc_id", "key", "text"))
+        yield from bounded(((i, k, signed(vote(np.array(h, dtype=np.uint64))), len(set(h))) for i, k, h in rows), schema)
+
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    marked = keyed.mapInArrow(mark, "doc_id long, key binary, fp long, n long")
+    nodes = cut(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    groups = starred(nodes, max_bits)
+    asked = groups.select("least", F.col("key").alias("own"))
+    texts = cut(keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("own")), "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+    rest = groups.where("key <> head.key")
+    away = similar(rest.select(F.col("head.key").alias("lo"), F.col("key").alias("hi"), F.col("head.n").alias("x"), F.col("n").alias("y")), texts, shingle, least).select(F.col("hi").alias("key"))
+    left = cut(rest.join(away, "key", "left_anti").select("key", "least", "fp", "n"))
+    gone = away.unionByName(later(similar(close(left, max_bits), texts, shingle, least)))
+    return cut(nodes.join(gone, "key", "left_anti").select(F.col("least").alias("doc_id"), "key"))
+
+
+def starred(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """The nodes of groups of two or more that fingerprints link, with the first node of the group as ``head``."""
+    roots = components(links(nodes.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("key", "least", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    heads = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min(place()).alias("head")).where("members > 1").select("root", "head"))
+    return cut(rooted.join(heads, "root"))
+
+
+def place() -> Column:
+    """What nodes are ordered by: the smallest id, null last."""
+    return F.struct(F.col("least").isNull().alias("none"), "least", "key", "n")
+
+
+def close(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``lo, hi, x, y``: keys and shingle counts of all pairs of nodes within ``max_bits``."""
+    codes = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("c")))
+    own = codes.where("c > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    both = pairs(codes.select("fp"), max_bits).unionByName(own)
+    first, second = nodes.select(F.col("fp").alias("a"), place().alias("p")), nodes.select(F.col("fp").alias("b"), place().alias("q"))
+    met = both.join(first, "a").join(second, "b").where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
+    return met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).select(F.col("p.key").alias("lo"), F.col("q.key").alias("hi"), F.col("p.n").alias("x"), F.col("q.n").alias("y"))
+
+
+def similar(candidates: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``lo, hi``: the candidates whose texts have a similarity of ``least`` or more. Counts of shingles bound it."""
+    likely = candidates.where(F.least("x", "y") >= F.greatest("x", "y") * least - 1e-6)
+    both = likely.join(texts.select(F.col("key").alias("hi"), F.col("text").alias("a")), "hi").join(texts.select(F.col("key").alias("lo"), F.col("text").alias("b")), "lo")
+    schema = pa.schema([("lo", pa.binary()), ("hi", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from bounded(((fp,) for fp, a, b in rows_of(batches, "fp", "a", "b") if similarity(a, b, shingle) >= least), schema)
+        yield from bounded(((lo, hi) for lo, hi, a, b in rows_of(batches, "lo", "hi", "a", "b") if similarity(a, b, shingle) >= least), schema)
+
+    return cut(both.select("lo", "hi", "a", "b").mapInArrow(run, "lo binary, hi binary"))
+
 
-    gone = both.select("fp", "a", "b").mapInArrow(run, "fp long")
-    return cut(nodes.join(gone, "fp", "left_anti").select(F.col("least").alias("doc_id")))
+def later(edges: DataFrame) -> DataFrame:
+    """``key`` of what goes if each node goes that has an edge from an earlier node that stays."""
+    gone = edges.select(F.col("hi").alias("key")).limit(0)
+    while not edges.isEmpty():
+        stay = edges.select("lo").distinct().join(edges.select(F.col("hi").alias("lo")), "lo", "left_anti")
+        away = cut(edges.join(stay, "lo", "left_semi").select(F.col("hi").alias("key")).distinct())
+        gone = gone.unionByName(away)
+        edges = cut(edges.join(away.withColumnRenamed("key", "hi"), "hi", "left_anti").join(away.withColumnRenamed("key", "lo"), "lo", "left_anti"))
+    return gone

@@ -114,3 +114,25 @@ def test_representatives_keep_what_is_not_similar(spark):
     # far texts stay even where the links are so loose that all are one component
     assert {3, 6, 9} <= {r["doc_id"] for r in S.representatives(docs, max_bits=40).collect()}
     assert S.representatives(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [60, 700])
+def test_pairs_are_all_pairs_once(spark, n):
+    rng = random.Random(n)
+    center = rng.getrandbits(64)
+    codes = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for _ in range(n)})
+    frame = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    got = [frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))) for r in S.pairs(frame, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {frozenset((a, b)) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 4}
+
+
+def test_representatives_check_members_that_are_not_the_head(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base, head = [word() for _ in range(400)], [word() for _ in range(400)]
+    near = base[:]
+    near[200] = "changed"
+    rows = [(1, " ".join(head)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(word() for _ in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # so loose that all are one component, whose smallest id is like none of the others
+    assert sorted(r["doc_id"] for r in S.representatives(docs, max_bits=40).collect()) == [1, 2, 4]
