@@ -26,17 +26,27 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group of SimHash near-duplicates (op 1).
 
-    Rows that repeat an id count as one document; any one of them stays.
+    Rows that repeat an id count as one document, that of the smallest text, before any comparison.
+    Null is no id: such rows are told apart by their texts.
     """
-    kept = simhash.representatives(docs, SHINGLE, MAX_BITS, LEAST).withColumnRenamed("doc_id", "kept_id")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if repeated_ids(docs) else rows
+    repeated = repeated_ids(docs)
+    own = first_texts(docs) if repeated else docs
+    kept = simhash.representatives(own, SHINGLE, MAX_BITS, LEAST).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    keyed = own.withColumn("text_key", simhash.text_key(F.col("text")))
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "text_key"]) if repeated else rows).drop("text_key")
 
 
 def repeated_ids(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def first_texts(docs: DataFrame) -> DataFrame:
+    """Without rows whose id, if not null, has a smaller text in another row."""
+    firsts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first")).where("n > 1").select(F.col("doc_id").alias("id"), "first")
+    return docs.join(firsts, F.col("doc_id") == F.col("id"), "left").where(F.col("id").isNull() | F.col("text").eqNullSafe(F.col("first"))).drop("id", "first")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 35 words or more that occur elsewhere (op 3)."""
     return with_length(substring.strip(docs))

@@ -37,3 +37,19 @@ def test_repeated_ids_count_once(spark):
 
     docs = spark.createDataFrame([(1, "one two three four five six"), (1, "other words that differ from the first row"), (2, "one two three four five six")], "doc_id long, text string")
     assert [r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()] == [1]
+
+
+def test_rows_without_an_id_are_told_apart_by_text(spark):
+    import corpus_pipeline as P
+
+    rows = [(None, "one two three four five six"), (None, "other words that differ from the first row"), (None, "Other  words that differ from the first row"), (None, "seven eight nine"), (3, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"].lower().split()) for r in P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, rows[0][1].split()), (None, rows[1][1].split()), (None, rows[3][1].split())], key=str)
+
+
+def test_text_of_a_repeated_id_that_stays_is_the_one_compared(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "zz words that differ"), (1, "a b c d e f"), (2, "zz words that differ"), (2, "zz words that differ")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect()) == [(1, "a b c d e f"), (2, "zz words that differ")]
