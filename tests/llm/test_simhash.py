@@ -136,3 +136,13 @@ def test_representatives_check_members_that_are_not_the_head(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # so loose that all are one component, whose smallest id is like none of the others
     assert sorted(r["doc_id"] for r in S.representatives(docs, max_bits=40).collect()) == [1, 2, 4]
+
+
+def test_texts_of_one_fingerprint_are_compared(spark):
+    rng = random.Random(14)
+    filler = "0 " * 400
+    rows = [(i, filler + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(3)]
+    rows += [(3, rows[1][1].upper().replace(" ", "  "))]
+    assert len({S.fingerprint(t.encode(), 5) for _, t in rows}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.representatives(docs).collect()) == [0, 1, 2]
