@@ -251,3 +251,12 @@ def dml10_added_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = rows.where("request_id < 500").withColumn("category", F.when(F.col("request_id") % 2 == 0, F.col("category")))
     new = rows.where("request_id BETWEEN 500 AND 999").withColumn("added", F.lit("new"))
     return old.unionByName(new, allowMissingColumns=True).withColumn("added", F.coalesce("added", F.lit("none")))
+
+
+@query(f"WITH {TICKETS} SELECT request_id, CASE WHEN registration_date >= TIMESTAMP '1998-01-01' OR request_id % 2 = 0 THEN category END AS category, CASE WHEN registration_date >= TIMESTAMP '1998-01-01' THEN 'new' ELSE 'none' END AS added FROM tickets")
+def dml10_added_column_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dml10_added_column, over all tickets: old and new by date."""
+    rows = tickets(spark, sf_dir).select("request_id", "category", (F.col("registration_date") >= F.lit("1998-01-01").cast("timestamp")).alias("late"))
+    old = rows.where("NOT late").drop("late").withColumn("category", F.when(F.col("request_id") % 2 == 0, F.col("category")))
+    new = rows.where("late").drop("late").withColumn("added", F.lit("new"))
+    return old.unionByName(new, allowMissingColumns=True).withColumn("added", F.coalesce("added", F.lit("none")))

@@ -136,3 +136,11 @@ def test_grouped_split_is_disjoint_and_stable(spark):
     assert X.overlap(X.grouped(rows, "g", "label"), "g").count() == 0
     assert {r["partition"] for r in first if r["label"] == "c"} == {"development"}
     assert {r["fold0"] for r in first if r["label"] == "a" and r["partition"] == "development"} == {0, 1, 2, 3}
+
+
+def test_added_column_has_every_ticket(spark):
+    import __spark_entry__ as entry
+    from halyard.sources.domain import tickets
+
+    rows = entry.queries()["dml10_added_column_all"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == tickets(spark, "/root/testdata/sf0.001").count() and {r["added"] for r in rows.select("added").distinct().collect()} == {"none", "new"}
