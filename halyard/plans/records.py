@@ -131,6 +131,13 @@ def st3_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "event_type").orderBy(rank, "event_id").limit(100)
 
 
+@query("SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS rank FROM events ORDER BY rank, event_id")
+def st3_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As st3_queue, over all events."""
+    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    return table(spark, sf_dir, "events").select("event_id", "event_type", rank.alias("rank")).orderBy("rank", "event_id")
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])password') THEN 'secret' WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'mail' WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' ELSE 'none' END AS rule FROM documents")
 def flt14_first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")

@@ -144,3 +144,10 @@ def test_added_column_has_every_ticket(spark):
 
     rows = entry.queries()["dml10_added_column_all"](spark, "/root/testdata/sf0.001")
     assert rows.count() == tickets(spark, "/root/testdata/sf0.001").count() and {r["added"] for r in rows.select("added").distinct().collect()} == {"none", "new"}
+
+
+def test_queue_has_every_event_in_order(spark):
+    import __spark_entry__ as entry
+
+    got = [(r["rank"], r["event_id"]) for r in entry.queries()["st3_queue_all"](spark, "/root/testdata/sf0.001").collect()]
+    assert got == sorted(got) and {r for r, _ in got} == {0, 1, 2} and len(got) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
