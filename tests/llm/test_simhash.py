@@ -146,3 +146,73 @@ def test_texts_of_one_fingerprint_are_compared(spark):
     assert len({S.fingerprint(t.encode(), 5) for _, t in rows}) == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in S.representatives(docs).collect()) == [0, 1, 2]
+
+
+def family(rng, n, words, edits):
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+    out = [base]
+    for _ in range(n - 1):
+        copy = base[:]
+        for at in rng.sample(range(words), edits):
+            copy[at] = f"w{rng.randint(0, 10**6)}"
+        out.append(copy)
+    return [" ".join(x) for x in out]
+
+
+def plain_groups(texts, least):
+    sets = [set(S.hashed(t.encode(), 5)) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {find(i) for i in range(len(texts))}
+
+
+def test_groups_in_one_block_and_in_many(spark):
+    rng = random.Random(21)
+    # copies that are similar to the text they come from and, mostly, not to each other
+    texts = family(rng, 60, 200, 4) + family(rng, 30, 200, 4)[1:] + family(rng, 12, 40, 1) + ["alone " * 9, ""]
+    want = plain_groups(texts, 0.8)
+    assert 3 < len(want) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{r["doc_id"] for r in S.representatives(docs, block_docs=b).collect()} for b in (512, 7)]
+    assert found[0] == found[1]
+    assert len(found[0] ^ want) <= 0.1 * len(texts)
+
+
+def test_recall_at_the_stated_similarity(spark):
+    rng = random.Random(22)
+    texts = [t for _ in range(150) for t in family(rng, 2, 120, 2)]
+    likeness = [S.similarity(texts[i].encode(), texts[i + 1].encode(), 5) for i in range(0, len(texts), 2)]
+    pairs = [i for i, s in enumerate(likeness) if s >= 0.8]
+    assert len(pairs) > 100 and min(likeness[i] for i in pairs) < 0.87
+    kept = {r["doc_id"] for r in S.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(150))
+    assert sum(2 * i + 1 not in kept for i in pairs) >= 0.9 * len(pairs)
+    assert all(2 * i + 1 in kept for i in range(150) if i not in pairs)
+    assert S.recall(0.8, 26) >= 0.9
+
+
+def test_wide_index_connects_as_all_pairs_of_one_node(spark):
+    rng = np.random.default_rng(23)
+    center = rng.integers(0, 1 << 63, size=2, dtype=np.uint64)
+    codes = np.array([center ^ np.packbits(rng.random(128) < 0.12, bitorder="little").view("<u8") for _ in range(300)])
+    a, b = S.connected(np.zeros(300, dtype=np.int64), codes, 20)
+    labels = S.Labels(300)
+    labels.link(a, b)
+    whole = [int(x) | int(y) << 64 for x, y in codes]
+    assert {tuple(v) for v in by(labels.of.tolist()).values()} == {tuple(v) for v in by(plain_components(whole, 20)).values()}
+
+
+def test_representatives_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(2, "a b c d e f", 1, 2, 3)] * 5 + [(1, "A b  c d e f", 4, 5, 6), (None, "g h i j k l", 7, 8, 9), (None, None, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, root int, n int")
+    assert sorted((r["doc_id"] for r in S.representatives(docs).collect()), key=str) == [1, None, None]
