@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from halyard.llm import bpe, decontaminate, language, simhash, substring
 from halyard.session import shared_path
 
-#: Five words to a shingle, a similarity of 0.8 or more. Such texts differ in about ten of 64 bits.
-SHINGLE, MAX_BITS, LEAST = 5, 10, 0.8
+#: Five words to a shingle, a similarity of 0.8 or more.
+SHINGLE, LEAST = 5, 0.8
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     repeated = repeated_ids(docs)
     own = first_texts(docs) if repeated else docs
-    kept = simhash.representatives(own, SHINGLE, MAX_BITS, LEAST).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    kept = simhash.representatives(own, SHINGLE, least=LEAST).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     keyed = own.withColumn("text_key", simhash.text_key(F.col("text")))
     rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     return (rows.dropDuplicates(["doc_id", "text_key"]) if repeated else rows).drop("text_key")
