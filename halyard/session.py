@@ -19,6 +19,7 @@ def build_session(app: str = "halyard", cpus: str | None = None, partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -63,3 +64,31 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder that no later plan reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Rounds:
+    """Tables of an iteration as Parquet: sizes are those of the files, and old rounds are deleted.
+
+    A checkpoint would carry the estimated size of its plan, which joins of joins multiply in each round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.old, self.new = spark, [], []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, "round")
+        df.write.parquet(path)
+        self.new.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def turn(self) -> None:
+        """Delete what was written before the last turn."""
+        for path in self.old:
+            discard(self.spark, path)
+        self.old, self.new = self.new, []
