@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import bounded, rows_of, signed, utf8, word_spans
-from halyard.session import cut
+from halyard.session import Rounds, cut
 
 SEED = 42
 BITS = 64
@@ -328,7 +328,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round hooks every node to the neighbour (or itself) with the least hash of that round and
     contracts the edges, so a constant share of nodes goes in expectation, whatever the ids are.
     """
-    edges = cut(edges)
+    held = Rounds(edges.sparkSession)
+    edges = held.keep(edges)
     reach = None
     for turn in range(rounds):
         if edges.isEmpty():
@@ -336,16 +337,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("b"))
-        hook = cut(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["b"].alias("up")))
+        hook = held.keep(best.select(F.col("a").alias("node"), F.least(F.col("m"), own)["b"].alias("up")))
         if reach is None:
             reach = hook.select("node", F.col("up").alias("root"))
         else:
             moved = hook.select(F.col("node").alias("root"), "up")
-            reach = reach.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        reach = cut(reach)
+            reach = held.keep(reach.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         first = hook.select(F.col("node").alias("a"), F.col("up").alias("x"))
         second = hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        edges = cut(edges.join(first, "a").join(second, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = held.keep(edges.join(first, "a").join(second, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        held.turn()
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if reach is None else reach
