@@ -2,10 +2,12 @@
 
 Words are runs of ASCII letters and digits and of any other characters beyond ASCII, after lowering
 A-Z. A window is ``size`` consecutive words of a benchmark item; a shorter item is one window. Windows
-go into a hash set that each executor holds, document windows are looked up by their bytes, so a hit
-is a verified match and no hash alone. The set's size is measured before it is broadcast: beyond
-``block_bytes`` it is cut into blocks of items that are scanned one after another, with the hits so
-far travelling as a column, so no executor ever holds more than one block.
+go into a sorted set of hashes that each executor holds with the items' words; document windows are
+looked up by hash and compared byte for byte, so a hit is a verified match. The set's size is counted
+before it is broadcast. Beyond ``block_bytes`` the items are dealt into blocks: each block is one pass
+over the texts that returns rows with hits only, the hits of a row are put together, and whatever is cut
+or dropped is decided once, on the whole set of hits. So the result does not depend on the blocks, no
+executor holds more than one, and the corpus is never written in between.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.llm.common import bounded, rows_of, word_spans
 from halyard.session import cut
@@ -32,19 +37,28 @@ def folded_words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a block of items: bytes of each to the items that have it, by number of words."""
+    """Windows of a block of items: sorted hashes, the item of each and its place in the items' words, by number of words."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.by_words: dict[int, dict[bytes, list[str]]] = {}
-        for item, text in items:
+        self.items = [i for i, _ in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        buffers, base = [], 0
+        for k, (_, text) in enumerate(items):
             words = folded_words(text)
             n = min(size, len(words))
-            if n:
-                buffer, starts, ends = word_spans(words)
-                for s, e in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True):
-                    held = self.by_words.setdefault(n, {}).setdefault(buffer[s:e], [])
-                    if item not in held:
-                        held.append(item)
+            if not n:
+                continue
+            buffer, starts, ends = word_spans(words)
+            starts, ends = starts[: len(words) - n + 1], ends[n - 1 :]
+            found.setdefault(n, []).append((window_hashes(buffer, starts, ends), np.full(len(starts), k, dtype=np.int32), starts + base, (ends - starts).astype(np.int32)))
+            buffers.append(buffer)
+            base += len(buffer)
+        self.buffer = b"".join(buffers)
+        self.by_words: dict[int, tuple[np.ndarray, ...]] = {}
+        for n, parts in found.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.by_words[n] = tuple(c[order] for c in columns)
 
     def hits(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, spans (first, number) of hit windows, and the items found."""
@@ -53,17 +67,27 @@ class Windows:
         items: set[str] = set()
         if words and self.by_words:
             buffer, starts, ends = word_spans(words)
-            for n, held in self.by_words.items():
+            for n, (hashes, item, at, length) in self.by_words.items():
                 if len(words) < n:
                     continue
-                windows = [buffer[s:e] for s, e in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
-                for i, w in enumerate(windows):
-                    if w in held:
+                first, last = starts[: len(words) - n + 1], ends[n - 1 :]
+                own = window_hashes(buffer, first, last)
+                left = np.searchsorted(hashes, own)
+                for i in np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own).tolist():
+                    window = buffer[first[i] : last[i]]
+                    right = np.searchsorted(hashes, own[i], "right")
+                    same = [k for k in range(left[i], right) if length[k] == len(window) and self.buffer[at[k] : at[k] + length[k]] == window]
+                    if same:
                         spans.append((i, n))
-                        items.update(held[w])
+                        items.update(self.items[k] for k in item[same].tolist())
         return len(words), spans, items
 
 
+def window_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(buffer[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
 def covered(n: int, spans: list[tuple[int, int]]) -> int:
     """How many of n words the spans cover."""
     if not spans:
@@ -75,10 +99,58 @@ def covered(n: int, spans: list[tuple[int, int]]) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> int:
-    """Into how many blocks the items go, from their number and bytes."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()["b"]
-    return max(1, -(-16 * size // block_bytes))  # a window of ten words is about ten times the text, with its entry
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int, size: int = SIZE) -> int:
+    """Into how many blocks the items go, from what their windows, words and ids take while a set is built."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for (text,) in rows_of(batches, "text"):
+            words = len(folded_words(text))
+            total += 1000 + 4 * len(text or b"") + 96 * (words - min(size, words) + 1)  # objects, words, arrays and their sorted copies
+        yield pa.RecordBatch.from_arrays([pa.array([total], type=pa.int64())], names=["b"])
+
+    taken = benchmark.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "b long")
+    return max(1, -(-taken.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"] // block_bytes))
+
+
+def windows_of(items: DataFrame, blocks: int, block: int, size: int) -> Broadcast:
+    own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+    return items.sparkSession.sparkContext.broadcast(Windows([(r["item_id"], bytes(r["text"])) for r in own.toLocalIterator()], size))
+
+
+def text_mark() -> Column:
+    """What tells texts apart where hits are put together."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+
+
+def gathered(docs: DataFrame, items: DataFrame, blocks: int, size: int) -> DataFrame:
+    """``mark, spans, items`` of the texts that any block hits, one row for equal texts."""
+    schema = pa.schema([("mark", pa.binary()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    rows = docs.select(text_mark().alias("mark"), F.col("text").cast("binary").alias("text")).where("text is not null")
+
+    def scanned(block: int) -> DataFrame:
+        shared = windows_of(items, blocks, block, size)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def hit() -> Iterator[tuple]:
+                for mark, text in rows_of(batches, "mark", "text"):
+                    _, spans, found = shared.value.hits(text)
+                    if spans:
+                        yield mark, [x for s in spans for x in s], sorted(found)
+
+            yield from bounded(hit(), schema)
+
+        return cut(rows.mapInArrow(run, "mark binary, spans array<long>, items array<string>").distinct())
+
+    parts = [scanned(block) for block in range(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy("mark").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -86,30 +158,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: i
 
     ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``; other columns are not read. A
     null text has no words; an item that is null, or has no words, or has a null id, has no windows.
-    Equal rows give equal rows; empty tables give no hits or no rows.
+    Equal rows give equal rows; empty tables give no hits or no rows. Texts may be of any length: a row
+    is held with the hashes of its windows, ten bytes a word.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    blocks = blocks_of(items, block_bytes)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-    context = docs.sparkSession.sparkContext
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        shared = context.broadcast([(r["item_id"], bytes(r["text"])) for r in own.toLocalIterator()])
-        last = block == blocks - 1
+    items = items_of(benchmark)
+    blocks = blocks_of(items, block_bytes, size)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    result = "doc_id long, n_words long, spans array<long>, items array<string>"
+    if blocks == 1:
+        shared = windows_of(items, 1, 0, size)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, size)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def step(doc_id, text) -> tuple:
+                n, spans, found = shared.value.hits(text)
+                return doc_id, n, [x for s in spans for x in s], sorted(found)
 
-            def step(doc_id, text, _, spans, found) -> tuple:
-                n, more, new = windows.hits(text)
-                return doc_id, None if last else text, n, (spans or []) + [x for s in more for x in s], sorted(new.union(found or []))
+            yield from bounded((step(*row) for row in rows_of(batches, "doc_id", "text")), schema)
 
-            yield from bounded((step(*row) for row in rows_of(batches, *schema.names)), schema, 1000, lambda r: len(r[1] or b""))
+        return rows.mapInArrow(run, result)
+    found = gathered(rows, items, blocks, size)
 
-        state = state.mapInArrow(run, "doc_id long, text binary, n_words long, spans array<long>, items array<string>")
-        state = state if last else cut(state)
-    return state.drop("text")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from bounded(((i, len(folded_words(t)), s or [], x or []) for i, t, s, x in rows_of(batches, "doc_id", "text", "spans", "items")), schema)
+
+    marked = rows.withColumn("own_mark", text_mark())
+    return marked.join(found, F.col("own_mark") == F.col("mark"), "left").select("doc_id", "text", "spans", "items").mapInArrow(counted, result)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -130,34 +204,53 @@ def strip(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size:
     """``docs`` without contamination, with all its columns.
 
     ``documents`` drops rows with a hit. ``spans`` keeps them and cuts each hit passage out of the text,
-    from the first byte of its first word to the last of its last; the rest stays byte for byte.
+    from the first byte of its first word to the last of its last; the rest stays byte for byte. Passages
+    are those of the text as it came, so what a cut brings together is no new passage. A null or wordless
+    text stays as it is, repeated rows stay repeated, an empty table stays empty, and without items
+    nothing is cut; of ``docs`` only ``text`` is read, whatever the other columns are called.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    context = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    blocks = blocks_of(items, block_bytes)
-    kinds = docs.schema
-    state = docs
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        shared = context.broadcast([(r["item_id"], bytes(r["text"])) for r in own.toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, size)
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                texts = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
-                found = [windows.hits(t)[1] for t in texts]
-                if mode == "documents":
-                    yield batch.filter(pa.array([not x for x in found]))
-                else:
-                    cutout = pa.array([t if not x else without(t, x) for t, x in zip(texts, found, strict=True)], type=pa.binary())
-                    yield batch.set_column(at, batch.schema.field(at), cutout.cast(batch.schema.field(at).type))
-
-        state = state.mapInArrow(run, kinds)
-        state = state if block == blocks - 1 else cut(state)
-    return state
+    items = items_of(benchmark)
+    blocks = blocks_of(items, block_bytes, size)
+    if blocks > 1:
+        return stripped_in_blocks(docs, items, blocks, mode, size)
+    shared = windows_of(items, 1, 0, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
+            found = [shared.value.hits(t)[1] for t in texts]
+            yield batch.filter(pa.array([not x for x in found])) if mode == "documents" else cutout(batch, at, texts, found)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def stripped_in_blocks(docs: DataFrame, items: DataFrame, blocks: int, mode: str, size: int) -> DataFrame:
+    found = gathered(docs, items, blocks, size)
+    names = [F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    joined = docs.select("*", text_mark().alias("own_mark")).alias("d").join(found.alias("h"), F.col("d.own_mark") == F.col("h.mark"), "left")
+    if mode == "documents":
+        return joined.where(F.col("h.mark").isNull() | F.col("d.text").isNull()).select(*names).select(*back)
+    at, width = docs.columns.index("text"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
+            found = [[] if t is None or not s else list(zip(s[::2], s[1::2], strict=True)) for t, s in zip(texts, batch.column(width).to_pylist(), strict=True)]
+            yield cutout(batch.select(range(width)), at, texts, found)
+
+    placed = joined.select(*names, F.col("h.spans").alias("spans"))
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
+    return placed.mapInArrow(run, kinds).select(*back)
+
+
+def cutout(batch: pa.RecordBatch, at: int, texts: list[bytes | None], found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The batch with the hit passages cut out of its texts."""
+    cut_texts = pa.array([t if not x else without(t, x) for t, x in zip(texts, found, strict=True)], type=pa.binary())
+    return batch.set_column(at, batch.schema.field(at), cut_texts.cast(batch.schema.field(at).type))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -56,3 +56,33 @@ def test_strip(spark):
     spans = {r["doc_id"]: (r["text"], r["items"]) for r in D.strip(d, b, "spans").collect()}
     assert spans == {1: ("Before. ! after", "k"), 2: ("clean  as before", None), 3: (None, "k")}
     assert D.report(d.limit(0), b).count() == 0 and D.report(d, b.limit(0)).where("contaminated").count() == 0
+
+
+def test_strip_does_not_depend_on_the_blocks(spark):
+    rng = random.Random(4)
+    docs, items, d, b = tables(spark)
+    # windows that overlap and belong to different items, so that blocks share a passage
+    chain = [f"w{i}" for i in range(24)]
+    items += [(200 + i, " ".join(chain[i : i + 10])) for i in range(0, 15)]
+    docs += [(700, "start " + " ".join(chain) + " tail"), (701, " ".join(chain[3:17])), (700, "start " + " ".join(chain) + " tail")]
+    d = spark.createDataFrame([(*r, rng.choice("xy")) for r in docs], "doc_id long, text string, mark string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for mode in ("spans", "documents"):
+        one = D.strip(d, b, mode)
+        want = sorted(map(tuple, one.collect()), key=str)
+        assert one.columns == d.columns and any(t == "start  tail" for _, t, _ in want) == (mode == "spans")
+        for block_bytes in (20_000, 9_000, 4_000):
+            assert D.blocks_of(D.items_of(b), block_bytes) > 1
+            many = D.strip(d, b, mode, block_bytes=block_bytes)
+            assert many.columns == d.columns and sorted(map(tuple, many.collect()), key=str) == want
+        assert D.strip(d.limit(0), b, mode).count() == 0 and D.strip(d, b.limit(0), mode).count() == len(docs)
+
+
+def test_set_is_no_larger_than_counted(spark):
+    items = [(str(i), b"a b c d e f g h i j k l m n o p q r s t u v w x y z" * 20) for i in range(50)]
+    windows = D.Windows(items, 10)
+    held = len(windows.buffer) + sum(c.nbytes for columns in windows.by_words.values() for c in columns)
+    table = spark.createDataFrame([(i, t.decode()) for i, t in items], "item_id string, text string")
+    assert D.blocks_of(table, held) > 1
+    # one window in many items is found in all of them
+    assert windows.hits(b"a b c d e f g h i j")[2] == {str(i) for i in range(50)}
