@@ -44,7 +44,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
+    whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(": "), "reason")).cast("boolean"))
+    found = warc.round_trip(table(spark, sf_dir, "pages")).where(whole)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -3,15 +3,19 @@
 The reader checks every record: the gzip member's own checksum, the version line, the header, the
 lengths and the block digest. When a check fails it searches onwards for the next place where a member
 or a version line begins and a whole record follows, takes up there, and reports the bytes between as a
-quarantined gap. So one damaged byte costs one record, and nothing is lost without a trace.
+quarantined gap. A member may hold any number of records, and the search goes on inside it. So one
+damaged byte costs one record where each has its member, and nothing is lost without a trace. There is
+no limit to the length of headers and records; what is not kept is read piece by piece.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -25,6 +29,7 @@ from halyard.session import cut, shared_path
 
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,94 +57,255 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in header).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Header, block and length of the record at the start of ``data``, all checks passed."""
-    if not data.startswith(VERSION):
+class Content:
+    """Bytes that are pulled in pieces: a stretch of a file, or what a gzip member holds."""
+
+    def __init__(self, pull: Callable[[], bytes]):
+        self.pull, self.held, self.ended, self.at = pull, b"", False, 0
+
+    def need(self, n: int) -> bool:
+        """Hold so many bytes ahead; whether there are as many."""
+        parts, total = [self.held], len(self.held)
+        while total < n and not self.ended:
+            parts.append(self.pull())
+            total += len(parts[-1])
+            self.ended = not parts[-1]
+        self.held = b"".join(parts) if len(parts) > 1 else self.held
+        return len(self.held) >= n
+
+    def take(self, n: int) -> bytes:
+        self.need(n)
+        out, self.held = self.held[:n], self.held[n:]
+        self.at += len(out)
+        return out
+
+
+def plain(source: Ranges, offset: int) -> Content:
+    """The bytes of a file from an offset on."""
+    at = offset
+
+    def pull() -> bytes:
+        nonlocal at
+        piece = source.read(at, PIECE)
+        at += len(piece)
+        return piece
+
+    return Content(pull)
+
+
+class Member:
+    """A gzip member, decompressed piece by piece; ``length`` is its compressed length once it is read."""
+
+    def __init__(self, source: Ranges, offset: int):
+        self.source, self.offset, self.at = source, offset, offset
+        self.unzip, self.fed = zlib.decompressobj(31), b""
+        self.failure: str | None = None
+        self.content = Content(self.pull)
+
+    def pull(self) -> bytes:
+        while not self.unzip.eof and self.failure is None:
+            block = self.fed or self.source.read(self.at, 1 << 16)
+            if not self.fed:
+                self.at += len(block)
+            if not block:
+                self.failure = "member cut short"
+                break
+            try:
+                out = self.unzip.decompress(block, PIECE)
+            except zlib.error as e:
+                self.failure = f"member: {e}"
+                break
+            self.fed = self.unzip.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    @property
+    def length(self) -> int:
+        return self.at - len(self.unzip.unused_data) - self.offset
+
+
+def header_of(content: Content) -> dict[str, str]:
+    """The header of the record that comes next: the version line, then lines of any number and length."""
+    content.need(len(VERSION))
+    if not content.held.startswith(VERSION):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("header without end")
-    header = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("header line without colon")
-        header[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    header: dict[str, str] = {}
+    last, first = None, True
+    while True:
+        seen = 0
+        while (end := content.held.find(b"\r\n", seen)) < 0:
+            seen = max(0, len(content.held) - 1)
+            if not content.need(len(content.held) + 1):
+                raise Damaged("header without end")
+        line = content.take(end + 2)[:-2]
+        if first:
+            if not re.fullmatch(rb"WARC/1\.[0-9]+", line):
+                raise Damaged("no version line")
+            first = False
+        elif not line:
+            return header
+        elif line[:1] in b" \t" and last is not None:
+            header[last] += " " + line.strip().decode("utf-8", "replace")
+        else:
+            name, colon, value = line.partition(b":")
+            if not colon:
+                raise Damaged("header line without colon")
+            last = name.strip().lower().decode("utf-8", "replace")
+            header[last] = value.strip().decode("utf-8", "replace")
+
+
+class Digest:
+    """A stated digest, in hexadecimal or base 32, of bytes that come in pieces; unknown kinds are not checked."""
+
+    def __init__(self, stated: str | None):
+        kind, _, self.value = (stated or "").partition(":")
+        kind = kind.strip().lower().replace("-", "")
+        self.known = kind in ("md5", "sha1", "sha256", "sha512")
+        self.sum = hashlib.new(kind) if self.known else None
+
+    def update(self, piece: bytes) -> None:
+        if self.sum is not None:
+            self.sum.update(piece)
+
+    def differs(self) -> bool:
+        return self.known and self.value.strip().lower() not in (self.sum.hexdigest(), base64.b32encode(self.sum.digest()).decode().lower().rstrip("="), base64.b32encode(self.sum.digest()).decode().lower())
+
+
+def record_of(content: Content, keep: int | None = None, ends_at=None) -> tuple[dict[str, str], dict]:
+    """Header and facts of the record that comes next, all checks passed.
+
+    Facts: ``size`` and ``digest`` of the payload, the payload itself if it has no more than ``keep``
+    bytes (None: always), ``checked`` if the block had a digest that holds, ``http_length``. The block is
+    read piece by piece, so a record of any length takes no more memory than what is kept of it. The
+    payload is what follows the HTTP header if the record has one, or else the whole block.
+    """
+    header = header_of(content)
     length = header.get("content-length", "")
-    if not length.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", length):
         raise Damaged("no length")
-    start, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    left = int(length)
+    if ends_at is not None and not ends_at(content.at + left):
+        raise Damaged("length and end differ")
+    http = header.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    stated, payload = Digest(header.get("warc-block-digest")), hashlib.sha256()
+    kept: list[bytes] = []
+    before, size, inside = bytearray(), 0, not http
+    while left:
+        piece = content.take(min(left, PIECE))
+        if not piece:
+            raise Damaged("record cut short")
+        left -= len(piece)
+        stated.update(piece)
+        if not inside:
+            seen = max(0, len(before) - 3)
+            before += piece
+            end = before.find(b"\r\n\r\n", seen)
+            if end < 0:
+                continue
+            before, piece, inside = before[:end], bytes(before[end + 4 :]), True
+        size += len(piece)
+        payload.update(piece)
+        if keep is None or size <= keep:
+            kept.append(piece)
+    if content.take(4) != b"\r\n\r\n":
         raise Damaged("length and end differ")
-    block = data[start:stop]
-    kind, _, digest = header.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
+    if stated.differs():
         raise Damaged("block digest differs")
-    return header, block, stop + 4
-
-
-def member_at(source: Ranges, offset: int, most: int) -> tuple[bytes, int]:
-    """The content of the gzip member at an offset, and its compressed length."""
-    unzip = zlib.decompressobj(31)
-    out, at = [], offset
-    total = 0
-    while not unzip.eof:
-        block = source.read(at, 1 << 16)
-        if not block:
-            raise Damaged("member cut short")
-        try:
-            out.append(unzip.decompress(block))
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        at += len(block)
-        total += len(out[-1])
-        if total > most:
-            raise Damaged("member too large")
-    return b"".join(out), at - len(unzip.unused_data) - offset
-
-
-def plain_at(source: Ranges, offset: int, most: int) -> tuple[dict[str, str], bytes, int]:
-    """The uncompressed record at an offset."""
-    head = source.read(offset, 1 << 16)
-    end = head.find(b"\r\n\r\n")
-    length = 0
-    for line in head[: max(0, end)].split(b"\r\n"):
-        if line.lower().startswith(b"content-length:") and line[15:].strip().isdigit():
-            length = int(line[15:])
-    if length > most:
-        raise Damaged("record too large")
-    return parse(source.read(offset, end + 4 + length + 4) if end >= 0 else head)
-
-
-def salvage(source: Ranges, most: int = 1 << 30) -> Iterator[tuple]:
-    """("record", offset, length, header, block) and ("gap", offset, length, reason, None), in order."""
+    lengths = [int(m) for m in re.findall(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", before)]
+    whole = b"".join(kept) if keep is None or size <= keep else None
+    return header, {"size": size, "digest": payload.hexdigest(), "payload": whole, "checked": stated.known, "http_length": lengths[0] if lengths else None}
+
+
+def salvage(source: Ranges, keep: int | None = None) -> Iterator[tuple]:
+    """("record", offset, length, header, facts) and ("gap", offset, length, reason, None), in order.
+
+    Lengths add up to the file. Of several records in a gzip member the first has the member's offset and
+    length, the others its offset and length 0; so has a damaged stretch between them. Of a member that
+    breaks off, records with a block digest that holds are kept (length 0) and its bytes are a gap.
+    """
     at, lost, reason = 0, None, ""
+
+    def follows(offset: int) -> Callable[[int], bool]:
+        return lambda end: source.read(offset + end, 4) == b"\r\n\r\n"
+
     while at < source.size:
+        start = source.read(at, 8)
+        found: list[tuple] = []
         try:
-            start = source.read(at, 8)
             if start.startswith(GZIP):
-                data, length = member_at(source, at, most)
-                header, block, used = parse(data)
-                if used != len(data):
-                    raise Damaged("member holds more than a record")
+                member = Member(source, at)
+                found = list(member_records(member, keep))
+                if member.failure is not None:
+                    raise Damaged(member.failure)
+                if not any(kind == "record" for kind, *_ in found):
+                    raise Damaged(found[0][1] if found else "empty member")
+                length = member.length
             elif start.startswith(VERSION):
-                header, block, length = plain_at(source, at, most)
+                content = plain(source, at)
+                header, facts = record_of(content, keep, follows(at))
+                found, length = [("record", header, facts)], content.at
             else:
                 raise Damaged("neither member nor version line")
         except Damaged as e:
             if lost is None:
                 lost, reason = at, str(e)
+            for kind, header, facts in found:
+                if kind == "record" and facts["checked"]:
+                    yield "record", at, 0, header, facts
             at = next_candidate(source, at + 1)
             continue
         if lost is not None:
             yield "gap", lost, at - lost, reason, None
             lost = None
-        yield "record", at, length, header, block
+        for i, (kind, header, facts) in enumerate(found):
+            yield kind, at, 0 if i else length, header, facts
         at += length
     if lost is not None:
         yield "gap", lost, source.size - lost, reason, None
 
 
+def member_records(member: Member, keep: int | None) -> Iterator[tuple]:
+    """("record", header, facts) and ("gap", reason, None) inside a member; a gap ends where a whole record follows."""
+    content = member.content
+    while content.need(1):
+        held = content.at
+        try:
+            header, facts = record_of(content, keep)
+        except Damaged as e:
+            if member.failure is not None:
+                return
+            # what the failed record has taken is gone: read the member again, from the next version line on
+            again = Member(member.source, member.offset)
+            while again.content.at < held:
+                again.content.take(min(PIECE, held - again.content.at))
+            skipped = resume(again)
+            if not skipped:
+                member.at, member.unzip, member.failure = again.at, again.unzip, again.failure
+                yield "gap", f"{e}, at byte {held} of the member's content", None
+                return
+            yield "gap", f"{e}, at bytes {held} to {again.content.at} of the member's content", None
+            yield from member_records(again, keep)
+            member.at, member.unzip, member.failure = again.at, again.unzip, again.failure
+            return
+        yield "record", header, facts
+
+
+def resume(member: Member) -> bool:
+    """Move on to the next version line; False at the end of the content."""
+    content = member.content
+    content.take(1)
+    while True:
+        found = content.held.find(VERSION)
+        if found >= 0:
+            content.take(found)
+            return True
+        content.take(max(0, len(content.held) - len(VERSION) + 1))
+        if not content.need(len(content.held) + 1):
+            content.take(len(content.held))
+            return False
+
+
 def next_candidate(source: Ranges, at: int) -> int:
     """Where the next gzip member or version line may begin."""
     while at < source.size:
@@ -169,22 +335,22 @@ def typed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Archives of typed rows below ``folder``; their paths, bytes and records. A member a record.
 
-    A file's name follows from its task's partition and appears when it is whole, so a task that runs
-    again replaces what it wrote before.
+    A file's name has its task's attempt in it, and the returned rows are those of the attempts that
+    count: files of an attempt that was lost or superseded are in none of them.
     """
     make_dir(folder)
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(folder)
-        task = TaskContext.get().partitionId()
+        task = TaskContext.get()
         rows = rows_of(batches, "page_id", "url", "payload", "digest", "refers_to", "revisit")
         held = next(rows, None)
         number = 0
         while held is not None:
-            path = f"{base}/part-{task:06d}-{number:04d}.warc.gz"
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.gz"
             size = records = 0
-            with committed(fs, path) as stream:
+            with committed(fs, f"{base}/{name}") as stream:
                 while held is not None and size < file_bytes:
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = squeeze.compress(record(*held)) + squeeze.flush()
@@ -193,7 +359,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
                     records += 1
                     held = next(rows, None)
             number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([records])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([size]), pa.array([records])], schema=schema)
 
     return cut(pages.mapInArrow(run, "path string, bytes long, records long"))
 
@@ -201,48 +367,56 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
 RECORD = "kind string, path string, offset long, length long, reason string, record_type string, page_id long, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"
 
 
-def read(spark: SparkSession, folder: str, suffix: str = ".warc.gz", keep_payload: bool = True) -> DataFrame:
-    """All records and gaps of the archives below ``folder``; a file is a task, a record at a time in memory.
+def read(spark: SparkSession, folder: str, suffix: str = ".warc.gz", keep_bytes: int | None = None) -> DataFrame:
+    """:func:`read_files` of all archives below ``folder``."""
+    scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
+    paths = [(f"{scheme}{p}" if scheme == "file://" or not scheme else folder.rstrip("/") + p[len(place(folder)[1].rstrip("/")) :],) for p, _ in files(folder, suffix)]
+    return read_files(spark.createDataFrame(paths, "path string"), keep_bytes)
+
+
+def read_files(paths: DataFrame, keep_bytes: int | None = None) -> DataFrame:
+    """All records and gaps of the archives in ``path``; a file is a task, which holds one payload at a time.
 
     ``kind`` is ``record`` or ``gap``; a gap has path, offset, length and reason only. A response's payload
-    digest and size are those of the payload read, a revisit's are those that its headers state.
+    digest and size are those of the payload read, a revisit's are those that its headers state. Payloads
+    of more than ``keep_bytes`` are null, with their digest and size (0: no payloads; None: all of them,
+    which then must fit a row); records of any length are read.
     """
-    listed = files(folder, suffix)
-    scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
-    paths = spark.createDataFrame([(f"{scheme}{p}" if scheme == "file://" or not scheme else folder.rstrip("/") + p[len(place(folder)[1].rstrip("/")) :],) for p, _ in listed], "path string")
     schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for (path,) in rows_of(batches, "path"):
                 source = Ranges(*place(path))
-                for kind, offset, length, header, block in salvage(source):
+                for kind, offset, length, header, facts in salvage(source, keep_bytes):
                     if kind == "gap":
                         yield (kind, path, offset, length, header, *[None] * 7)
                     else:
-                        yield (kind, path, offset, length, None, *fields(header, block, keep_payload))
+                        yield (kind, path, offset, length, None, *fields(header, facts, keep_bytes))
                 source.close()
 
         yield from bounded(rows(), schema, 2000, lambda r: len(r[-1] or b""))
 
-    return paths.repartition(max(1, min(len(listed), 10_000))).mapInArrow(run, RECORD)
+    listed = paths.select("path")
+    return listed.repartition(max(1, min(listed.count(), 10_000))).mapInArrow(run, RECORD)
+
 
+def fields(header: dict[str, str], facts: dict, keep_bytes: int | None) -> tuple:
+    def number(name: str) -> int | None:
+        value = header.get(name, "")
+        return int(value) if re.fullmatch("-?[0-9]{1,19}", value) and -(1 << 63) <= int(value) < 1 << 63 else None
 
-def fields(header: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
-    number = lambda k: int(header[k]) if header.get(k, "").lstrip("-").isdigit() else None
-    http, _, payload = block.partition(b"\r\n\r\n")
     if header.get("warc-type") == "revisit":
-        digest = header.get("warc-payload-digest", "").partition(":")[2] or None
-        sizes = [int(x[15:]) for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:") and x[15:].strip().isdigit()]
-        size, payload = (sizes[0] if sizes else None), None
+        digest, size, payload = header.get("warc-payload-digest", "").partition(":")[2] or None, facts["http_length"], None
     else:
-        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-    return header.get("warc-type"), number("x-page-id"), number("x-refers-to-page"), header.get("warc-target-uri"), digest, size, payload if keep_payload else None
+        digest, size, payload = facts["digest"], facts["size"], facts["payload"]
+    return header.get("warc-type"), number("x-page-id"), number("x-refers-to-page"), header.get("warc-target-uri"), digest, size, payload if keep_bytes != 0 else None
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, and read these."""
-    spark = pages.sparkSession
-    folder = shared_path(spark, "warc")
-    write(typed(pages), folder)
-    return read(spark, folder, keep_payload=False)
+    """Write ``pages`` to archives in the shared folder, and read those files without their payloads.
+
+    ``kind`` is ``record`` for all rows unless a file was damaged after it was written.
+    """
+    folder = shared_path(pages.sparkSession, "warc")
+    return read_files(write(typed(pages), folder), keep_bytes=0)

@@ -66,6 +66,99 @@ def test_salvage(tmp_path, plain, damage):
     assert len(gaps) == (damage != "none") and sum(r[2] for r in got) == len(data)
 
 
+def salvaged(tmp_path, data, keep=None):
+    (tmp_path / "x.warc").write_bytes(bytes(data))
+    return list(W.salvage(Ranges(pafs.LocalFileSystem(), str(tmp_path / "x.warc"), block=700), keep))
+
+
+def test_several_records_in_a_member(tmp_path):
+    parts = archive(plain=True)
+    members = [gzip.compress(b"".join(parts[i : i + 6]), mtime=0) for i in range(0, 30, 6)]
+    got = salvaged(tmp_path, b"".join(members))
+    assert [int(r[3]["x-page-id"]) for r in got] == list(range(30)) and sum(r[2] for r in got) == sum(map(len, members))
+    # a bad record inside a member, whose own checksum holds
+    broken = bytearray(b"".join(parts[:6]))
+    broken[len(parts[0]) + len(parts[1]) + len(parts[2]) - 20] ^= 0xFF
+    got = salvaged(tmp_path, gzip.compress(bytes(broken), mtime=0) + members[1])
+    assert [int(r[3]["x-page-id"]) for r in got if r[0] == "record"] == [0, 1, *range(3, 12)]
+    assert [r[0] for r in got].count("gap") == 1
+    # a member that breaks off: what was whole before stays
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    got = salvaged(tmp_path, whole[: len(whole) // 2])
+    ids = [int(r[3]["x-page-id"]) for r in got if r[0] == "record"]
+    assert ids == list(range(len(ids))) and 10 < len(ids) < 30 and sum(r[2] for r in got) == len(whole) // 2
+
+
+def lines(*header, block=b"", end=b"\r\n\r\n"):
+    return b"WARC/1.0\r\n" + b"".join(h + b"\r\n" for h in header) + b"\r\n" + block + end
+
+
+def test_long_headers_and_blocks_that_are_no_http(tmp_path):
+    block = b"first line\r\n\r\nsecond part" * 10
+    long = lines(b"WARC-Type: resource", b"X-Long: " + b"y" * 200_000, b"X-Page-Id: 5", b"Content-Type: text/plain", b"Content-Length: %d" % len(block), block=block)
+    for data in (long, gzip.compress(long)):
+        ((kind, _, _, header, facts),) = salvaged(tmp_path, data)
+        assert kind == "record" and W.fields(header, facts, None)[:6] == ("resource", 5, None, None, hashlib.sha256(block).hexdigest(), len(block))
+        assert facts["payload"] == block and len(header["x-long"]) == 200_000
+    folded = lines(b"WARC-Type: metadata", b"X-A: one", b"\ttwo", b"WARC-Block-Digest: sha1:" + __import__("base64").b32encode(hashlib.sha1(b"abc").digest()), b"Content-Length: 3", block=b"abc")
+    ((kind, _, _, header, facts),) = salvaged(tmp_path, folded)
+    assert header["x-a"] == "one two" and facts["checked"]
+
+
+def test_large_records_are_read_without_keeping_them(tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "PIECE", 1000)
+    payload = bytes(range(256)) * 400
+    data = b"".join(W.record(i, "http://h", payload, hashlib.sha256(payload).hexdigest(), None, False) for i in range(3))
+    for blob in (data, gzip.compress(data)):
+        got = salvaged(tmp_path, blob, keep=10)
+        assert [(r[0], r[4]["size"], r[4]["digest"], r[4]["payload"]) for r in got] == [("record", len(payload), hashlib.sha256(payload).hexdigest(), None)] * 3
+
+
+@pytest.mark.parametrize("number", ["²129", "-5", "", "1" * 30, "12a"])
+def test_malformed_numbers_are_damage_and_no_crash(tmp_path, number):
+    good = archive(2, plain=True)
+    bad = lines(b"WARC-Type: response", b"Content-Length: " + number.encode(), block=b"x" * 129)
+    got = salvaged(tmp_path, good[0] + bad + good[1])
+    assert [r[0] for r in got] == ["record", "gap", "record"]
+    odd = lines(b"WARC-Type: resource", b"X-Page-Id: " + number.encode(), b"Content-Length: 1", block=b"x")
+    ((_, _, _, header, facts),) = salvaged(tmp_path, odd)
+    assert W.fields(header, facts, None)[1] == (-5 if number == "-5" else None)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_damage_never_raises_and_lengths_add_up(tmp_path, seed):
+    rng = random.Random(seed)
+    parts = archive(20, plain=seed % 2 == 0)
+    if seed >= 4:
+        parts = [gzip.compress(b"".join(archive(20, plain=True)), mtime=0)]
+    for _ in range(25):
+        data = bytearray(b"".join(parts))
+        for _ in range(rng.randint(1, 8)):
+            at = rng.randrange(len(data))
+            if rng.random() < 0.3:
+                del data[at : at + rng.randint(1, 50)]
+            elif rng.random() < 0.3:
+                data[at:at] = rng.choice([b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"Content-Length: 9", bytes(rng.randrange(256) for _ in range(9))])
+            else:
+                data[at] = rng.randrange(256)
+        got = salvaged(tmp_path, data)
+        assert sum(r[2] for r in got) == len(data)
+        for r in got:
+            if r[0] == "record":
+                W.fields(r[3], r[4], None)
+        if seed < 4:
+            assert sum(r[0] == "record" for r in got) >= 20 - 16
+
+
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    rows, df = pages(spark)
+    folder = f"file://{tmp_path}"
+    manifest = W.write(W.typed(df), folder)
+    first = manifest.first()["path"].removeprefix("file://")
+    (tmp_path / "part-000000-999999-0000.warc.gz").write_bytes(open(first, "rb").read())
+    assert W.read_files(manifest).count() == len(rows) < W.read(spark, folder).count()
+
+
 def test_media_round_trip(spark):
     texts = ["plain", None, "", "é" * 1000, "x" * 64, "y" * 65, "plain", "z" * 200_000]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(None, "null id", "k")], "doc_id long, text string, error string")
