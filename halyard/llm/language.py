@@ -4,10 +4,13 @@ For each language, pieces of a fixed public vocabulary have a probability; a wor
 sum, over all its segmentations into pieces, of the product of their probabilities, by the forward
 algorithm. A text's log score is the sum over its words. Piece probabilities are fitted by expected
 counts over all segmentations (the backward pass of the same lattice), starting from equal weights.
+Words are runs of letters, as written, behind the vocabulary's mark for word starts; pieces with
+anything but letters cannot occur in them. Short words go through the lattice together, longer ones
+alone in log space, so a run of letters is one word whatever its length.
 
-The fit reads labelled rows; if there are more than ``sample_rows``, it takes those with the smallest
-hash of the id, at the rate that gives that many (a documented bound: the model has no more than
-languages x pieces numbers, whatever the corpus is).
+The fit reads labelled rows, at most ``sample_rows`` in expectation and an even share of them for each
+language, taken by a hash of id and text (a documented bound: the model has no more than languages x
+pieces numbers, whatever the corpus is). A language with fewer rows than its share is read whole.
 """
 
 from __future__ import annotations
@@ -23,26 +26,30 @@ from pyspark.sql import functions as F
 
 from halyard.llm.bpe import vocabulary_path
 from halyard.llm.common import arrow, bounded, portions, rows_of
+from halyard.session import cut
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_ROWS = 8_000
 ROUNDS = 2
 FLOOR = 0.05  # pseudo-count of each piece in each language
-KEPT_CHUNKS = 600_000
-WORD_LETTERS = 24  # longer runs are scored in parts of this length
+KEPT_BYTES = 96 << 20  # of chunks and their scores, in a worker
+SHORT = 24  # words of more letters are summed alone, in log space; their scores are the same
+SPAN = 1 << 15  # positions of a long word that the fit holds at once
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
-#: ASCII letters in lower case; other ASCII characters part words; bytes beyond ASCII stay.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+START = "▁"
+#: ASCII characters that are no letters part words; all other bytes stay.
+FOLD = bytes(c if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = regex.compile(r"\p{L}+")
 
 
 def pieces(name: str = VOCABULARY) -> list[str]:
-    """Letter pieces of the public vocabulary in lower case, without its marks for word starts."""
+    """Pieces of the public vocabulary that words can be made of: letters, with or without the mark of a word start."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=vocabulary_path(name))
-    found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i)}
-    return sorted(p for p in found if p and WORD.fullmatch(p))
+    found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i)}
+    return sorted(p for p in found if p == START or WORD.fullmatch(p.removeprefix(START)))
 
 
 class Lattice:
@@ -52,6 +59,7 @@ class Lattice:
         self.index = {p: i for i, p in enumerate(vocabulary)}
         self.unknown = len(vocabulary)
         self.starts = {p[:n] for p in vocabulary for n in range(2, len(p) + 1)}
+        self.longest = max((len(p) for p in vocabulary), default=1)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, from, to, piece) of every piece occurrence, sorted by where it ends."""
@@ -73,6 +81,78 @@ class Lattice:
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; ``p``: pieces x languages."""
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        if len(short) == len(words):
+            return self.forward_short(words, p)
+        out = np.empty((len(words), p.shape[1]))
+        if short:
+            out[short] = self.forward_short([words[k] for k in short], p)
+        logs = np.log(p)
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = self.forward_long(w, logs)
+        return out
+
+    def ways(self, word: str, at: int, most: int) -> list[tuple[int, int]]:
+        """(length, piece) of the pieces that begin at a place of a word, up to ``most`` letters."""
+        get, starts = self.index.get, self.starts
+        out = [(1, get(word[at], self.unknown))]
+        for n in range(2, min(self.longest, most) + 1):
+            part = word[at : at + n]
+            if part not in starts:
+                break
+            piece = get(part)
+            if piece is not None:
+                out.append((n, piece))
+        return out
+
+    def forward_long(self, word: str, logs: np.ndarray, start: int = 0, stop: int | None = None, ahead: np.ndarray | None = None, keep: bool = False) -> np.ndarray:
+        """Log sums over the ways from the word's start, by place; only the last is kept unless asked.
+
+        ``ahead`` (places from ``start`` on, as far as a piece reaches) is what earlier places gave; a ring
+        of that many rows is all that a pass holds.
+        """
+        stop, ring = len(word) if stop is None else stop, self.longest + 1
+        if ahead is None:
+            ahead = np.full((ring, logs.shape[1]), -np.inf)
+            ahead[0] = 0
+        ahead = ahead.copy()
+        rows = np.empty((stop - start, logs.shape[1])) if keep else None
+        for at in range(start, stop):
+            own = ahead[at % ring].copy()
+            ahead[at % ring] = -np.inf
+            if keep:
+                rows[at - start] = own
+            for n, piece in self.ways(word, at, len(word) - at):
+                to = (at + n) % ring
+                np.logaddexp(ahead[to], own + logs[piece], out=ahead[to])
+        self.ring = ahead
+        return rows if keep else ahead[stop % ring].copy()
+
+    def expected_long(self, word: str, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """As :meth:`expected` for one word, holding ``SPAN`` places at a time."""
+        logs, ring, n = np.log(p), self.longest + 1, len(word)
+        heads = [None]
+        for at in range(0, n, SPAN):
+            self.forward_long(word, logs, at, min(n, at + SPAN), heads[-1])
+            heads.append(self.ring)
+        total = heads[-1][n % ring]
+        out = np.zeros_like(p)
+        back = np.full((ring, logs.shape[1]), -np.inf)
+        back[n % ring] = 0
+        for k in range(len(heads) - 2, -1, -1):
+            first, last = k * SPAN, min(n, (k + 1) * SPAN)
+            rows = self.forward_long(word, logs, first, last, heads[k], keep=True)
+            for at in range(last - 1, first - 1, -1):
+                own = np.full(logs.shape[1], -np.inf)
+                for length, piece in self.ways(word, at, n - at):
+                    way = logs[piece] + back[(at + length) % ring]
+                    np.logaddexp(own, way, out=own)
+                    out[piece] += counts * np.exp(rows[at - first] + way - total)
+                back[at % ring] = own
+        return out
+
+    def forward_short(self, words: list[str], p: np.ndarray) -> np.ndarray:
         word, start, end, piece = self.edges(words)
         n = max(map(len, words))
         alpha = np.zeros((len(words), n + 1, p.shape[1]))
@@ -86,6 +166,13 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected counts of pieces (pieces x languages) over all segmentations; ``counts``: words x languages."""
+        long = [k for k, w in enumerate(words) if len(w) > SHORT]
+        if long:
+            short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+            sums = self.expected([words[k] for k in short], counts[short], p) if short else np.zeros_like(p)
+            for k in long:
+                sums += self.expected_long(words[k], counts[k], p)
+            return sums
         word, start, end, piece = self.edges(words)
         n = max(map(len, words))
         lengths = np.array([len(w) for w in words])
@@ -116,19 +203,14 @@ def add_rows(target: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 
 
 def chunks_of(text: bytes | None) -> list[bytes]:
-    """Stretches of a text between ASCII characters that are no letters, in ASCII lower case."""
+    """Stretches of a text between ASCII characters that are no letters."""
     return (text or b"").translate(FOLD).split()
 
 
 def words_of(chunk: bytes) -> list[str]:
-    """Runs of letters of a chunk in lower case, long runs in parts."""
-    if chunk.isalpha():
-        found = [chunk.decode()]
-    else:
-        found = WORD.findall(chunk.decode("utf-8").lower())
-    if any(len(w) > WORD_LETTERS for w in found):
-        found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
-    return found
+    """Runs of letters of a chunk, each behind the mark of a word start."""
+    found = [chunk.decode()] if chunk.isalpha() else WORD.findall(chunk.decode("utf-8"))
+    return [START + w for w in found]
 
 
 def by_word(chunks: Counter) -> Counter:
@@ -142,16 +224,20 @@ def by_word(chunks: Counter) -> Counter:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the pieces x languages matrix of probabilities.
 
-    ``labelled`` has ``doc_id, text, lang``; rows with a null text or lang are left out.
+    ``labelled`` has ``doc_id, text, lang``; rows with a null text or lang are left out, those with a null
+    id are not. Other columns are not read; without rows there is no language.
     """
     rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = rows.groupBy("lang").count().collect()  # one row a language
+    counted = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     langs = sorted(r["lang"] for r in counted)
-    total = sum(r["count"] for r in counted)
     if not langs:
         return [], np.zeros((0, 0))
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+    share = max(1, sample_rows // len(langs))
+    rates = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, share / r["count"]))))
+    place_in = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    rows = cut(rows.where(place_in < F.element_at(rates, F.col("lang"))).select("text", "lang"))
     own = pieces(vocabulary)
     lattice_size = len(own) + 1
     p = np.full((lattice_size, len(langs)), 1 / lattice_size)
@@ -186,22 +272,34 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
 
 
 class Scorer:
-    """Scores of texts, with a bounded store of chunks. Row 0 is for chunks without a letter."""
+    """Scores of texts, with a store of chunks that is bounded by bytes. Row 0 is for chunks without a letter."""
 
     def __init__(self, lattice: Lattice, p: np.ndarray):
         self.lattice, self.p = lattice, p
+        self.clear()
+
+    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.used = 1
-        self.table = np.zeros((1 << 14, p.shape[1]))
+        self.table = np.zeros((1 << 12, self.p.shape[1]))
+        self.held = 0
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def weight(self, chunk: bytes) -> int:
+        """What a chunk takes in the store: its bytes, its entry, and its row of scores, which may double."""
+        return len(chunk) + 150 + 16 * self.p.shape[1]
+
+    def scores(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of chunks, and which of them have a letter."""
         split = [words_of(c) for c in chunks]
         owner = [k for k, own in enumerate(split) for _ in own]
         words = [w for own in split for w in own]
-        scores = np.zeros((len(chunks), self.p.shape[1]))
+        out = np.zeros((len(chunks), self.p.shape[1]))
         if words:
-            add_rows(scores, np.array(owner, dtype=np.int64), self.lattice.forward(words, self.p))
-        lettered = np.array([bool(own) for own in split])
+            add_rows(out, np.array(owner, dtype=np.int64), self.lattice.forward(words, self.p))
+        return out, np.array([bool(own) for own in split])
+
+    def learn(self, chunks: list[bytes]) -> None:
+        scores, lettered = self.scores(chunks)
         n = int(lettered.sum())
         if self.used + n > len(self.table):
             grown = np.zeros((max(2 * len(self.table), self.used + n), self.table.shape[1]))
@@ -212,6 +310,7 @@ class Scorer:
         self.table[rows[lettered]] = scores[lettered]
         self.used += n
         self.place.update(zip(chunks, rows.tolist(), strict=True))
+        self.held += sum(map(self.weight, chunks))
 
     def best(self, texts: list[bytes | None]) -> list[tuple[int, float] | None]:
         """The likeliest language of each text and its posterior; None without a letter."""
@@ -220,13 +319,18 @@ class Scorer:
         split = [chunks_of(t) for t in texts]
         place = self.place
         new = {c for own in split for c in own if c not in place}
-        if len(place) + len(new) > KEPT_CHUNKS:
-            place.clear()
-            self.used = 1
-            new = {c for own in split for c in own}
-        ordered = sorted(new)
-        for at in range(0, len(ordered), 5000):
-            self.learn(ordered[at : at + 5000])
+        if self.held + sum(map(self.weight, new)) > KEPT_BYTES:
+            self.clear()
+            place, new = self.place, {c for own in split for c in own}
+        ordered, part, size = sorted(new), [], 0
+        for c in ordered:  # some thousand words, or a few long chunks, at a time
+            part.append(c)
+            size += len(c) + 8
+            if size > 1 << 16:
+                self.learn(part)
+                part, size = [], 0
+        if part:
+            self.learn(part)
         out: list[tuple[int, float] | None] = []
         for own in split:
             rows = np.fromiter(map(place.__getitem__, own), dtype=np.int64, count=len(own))
@@ -272,7 +376,9 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float
     """Rows of ``docs``, with all columns, whose text has a known language at a posterior of ``least``.
 
     A text that is null or has no letter goes, as does one that no language explains better than the
-    others together.
+    others together. Texts are read whole; repeated rows stay repeated or go together, an empty table
+    stays empty, and only ``text`` is read, whatever the other columns are called. If the model knows no
+    language, all rows go.
     """
     langs, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)
