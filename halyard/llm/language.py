@@ -237,11 +237,24 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
     share = max(1, sample_rows // len(langs))
     rates = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, share / r["count"]))))
     place_in = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    rows = cut(rows.where(place_in < F.element_at(rates, F.col("lang"))).select("text", "lang"))
+    place = {x: i for i, x in enumerate(langs)}
+    seen = pa.schema([("word", pa.string()), ("lang", pa.int32()), ("n", pa.int64())])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(rows_of(batches, "text", "lang"), 8 << 20, 0):
+            counts = [Counter() for _ in langs]
+            for text, lang in part:
+                counts[place[lang]].update(chunks_of(text))
+            yield from bounded(((w, i, n) for i, c in enumerate(counts) for w, n in by_word(c).items()), seen, 20_000, lambda r: len(r[0]))
+
+    sample = rows.where(place_in < F.element_at(rates, F.col("lang"))).select("text", "lang")
+    counted = sample.mapInArrow(words, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    by_words = counted.groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("counts"))
+    # few bytes and much work: a stated number of partitions, so that they are not merged by size
+    table = cut(by_words.repartition(max(labelled.sparkSession.sparkContext.defaultParallelism, 8), "word"))
     own = pieces(vocabulary)
     lattice_size = len(own) + 1
     p = np.full((lattice_size, len(langs)), 1 / lattice_size)
-    place = {x: i for i, x in enumerate(langs)}
     context = labelled.sparkSession.sparkContext
     schema = pa.schema([("piece", pa.int64()), ("lang", pa.int64()), ("n", pa.float64())])
     for _ in range(rounds):
@@ -250,21 +263,17 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, model = Lattice(own), shared.value
             sums = np.zeros_like(model)
-            for part in portions(rows_of(batches, "text", "lang"), 8 << 20, 0):
-                counts = [Counter() for _ in langs]
-                for text, lang in part:
-                    counts[place[lang]].update(chunks_of(text))
-                counts = [by_word(c) for c in counts]
-                words = sorted(set().union(*counts))
-                for at in range(0, len(words), 5000):
-                    some = words[at : at + 5000]
-                    sums += lattice.expected(some, np.array([[c[w] for c in counts] for w in some], dtype=float), model)
+            for part in portions(rows_of(batches, "word", "langs", "counts"), 1 << 16, 0):
+                counts = np.zeros((len(part), len(langs)))
+                for k, (_, at, n) in enumerate(part):
+                    counts[k, at] = n
+                sums += lattice.expected([w for w, *_ in part], counts, model)
             piece, lang = np.nonzero(sums)
             if len(piece):
                 yield arrow(schema, (piece, lang, sums[piece, lang]))
 
         sums = np.zeros_like(p)
-        found = rows.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        found = table.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         for r in found.toLocalIterator():  # no more than pieces x languages
             sums[r["piece"], r["lang"]] = r["n"]
         p = (sums + FLOOR) / (sums + FLOOR).sum(axis=0)
