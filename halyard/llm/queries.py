@@ -56,7 +56,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.repaired(table(spark, sf_dir, "conversations"))
+    return chat.turns(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_substring, op4_media, op5_sharding, op6_ngram, op7_decontaminate, op8_warc, op9_language, op10_chat)}

@@ -61,3 +61,64 @@ def test_rendered_conversations_are_legal_and_segments_agree(spark):
     got = C.repaired(df).collect()
     assert sum(r["n_in"] for r in got) == df.count()
     assert C.repaired(df.limit(0)).count() == 0
+
+
+def plain(rows):
+    """Every conversation repaired on its own, over all ways, by the stated order and tie rules."""
+    key = lambda x: (x is not None, x or "")
+    by = {}
+    for conv_id, turn, role, text in rows:
+        by.setdefault(conv_id, []).append((turn is None, turn or 0, key(role), key(text), turn, role, text))
+    out = {}
+    for conv_id, held in by.items():
+        held = [r[4:] for r in sorted(held)]
+        roles = [r if r in C.STATE_OF else None for r in ((r or "").strip().lower() for _, r, _ in held)]
+        best = {len(roles): {s: C.ending(s)[0] for s in range(4)}}
+        for i in range(len(roles) - 1, -1, -1):
+            best[i] = {s: min([c + best[i + 1][t] for c, t, *_ in C.moves(s, roles[i])], default=C.FAR) for s in range(4)}
+        state, text, total, ends = 0, "", 0, []
+        for i, (_, _, words) in enumerate(held):
+            c, t, between, joins, _ = min(m for m in C.moves(state, roles[i]) if m[0] + best[i + 1][m[1]] == best[i][state])
+            total += c
+            text += "".join(f"<|{C.ROLE_OF[b]}|>\n\n" for b in between) + ("" if joins else f"<|{C.ROLE_OF[t]}|>\n") + f"{words or ''}\n"
+            ends.append(C.ROLE_OF[t])
+            state = t
+        text += "".join(f"<|{C.ROLE_OF[b]}|>\n\n" for b in C.ending(state)[1])
+        total += C.ending(state)[0]
+        assert total == best[0][0]
+        out[conv_id] = (text, total, ends)
+    return out
+
+
+def whole(frame):
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: r["position"]):
+        text, cost, roles = out.get(r["conv_id"], ("", 0, []))
+        out[r["conv_id"]] = (text + r["rendered"], cost + r["cost"], [*roles, r["role"]])
+    return out
+
+
+def test_rows_equal_brute_force_whatever_the_segment(spark):
+    df = rows(spark)
+    want = plain([tuple(r)[:4] for r in df.collect()])
+    for segment in (1024, 3, 1):
+        got = C.turns(df, segment)
+        assert got.count() == df.count()
+        assert whole(got) == want
+
+
+def test_a_long_conversation_with_sparse_numbers_and_equal_turns(spark):
+    rng = random.Random(7)
+    data = [(1, rng.choice([None, 5, 5, 10**9 * rng.randint(0, 50)]), rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b", None, "c" * 200])) for _ in range(2500)]
+    data += [(2, 0, "user", "x")] * 1100
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(7)
+    got = C.turns(df)
+    assert whole(got) == plain(data)
+    assert sorted(r["position"] for r in got.where("conv_id = 1").collect()) == list(range(2500))
+
+
+def test_null_turns_come_in_the_stated_order(spark):
+    data = [(1, None, r, t) for r, t in (("user", "B"), ("assistant", "A"), ("user", "C"), ("assistant", "D"))]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    (row,) = C.repaired(df).collect()
+    assert [x for x in row["rendered"].split("\n") if len(x) == 1] == ["A", "D", "B", "C"] and row["segment"] == 0
