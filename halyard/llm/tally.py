@@ -13,18 +13,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.session import stored
+
 BATCH_BYTES = 8 << 20
 ASK = "part int, batch int, keys binary, extra binary"
 ASK_SCHEMA = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
 def batches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, int]:
-    """``batch, text, rest``: rows dealt by a hash of id and text, ``rest`` with the other columns; the number of batches, the bytes of text."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col) + 64), F.lit(0)).alias("b")).first()["b"]
+    """``batch, text, rest``: rows dealt by a hash of id and text, ``rest`` with the other columns; the number of batches, the bytes of text.
+
+    Rows equal in both, if together they are more than a batch, are dealt over as many batches as they
+    need. Nothing but a row number tells them apart, so these rows alone are written first.
+    """
+    taken = F.octet_length(text_col) + 64
+    size = docs.agg(F.coalesce(F.sum(taken), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-size // batch_bytes))
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    batch = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("binary")), F.lit(n)).cast("int")
-    return docs.select(batch.alias("batch"), F.col(text_col).cast("binary").alias("text"), rest.alias("rest")), n, size
+    mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), mark.alias("mark"))
+    copies = docs.groupBy(mark.alias("hot")).agg(F.count(F.lit(1)).alias("c"), F.sum(taken).alias("b"))
+    hot = stored(copies.where((F.col("c") > 1) & (F.col("b") > batch_bytes)).select("hot", F.ceil(F.col("b") / batch_bytes).cast("long").alias("over")), "hot")
+    if hot.isEmpty():
+        placed = marked.select("row", F.pmod("mark", F.lit(n)).cast("int").alias("batch"))
+    else:
+        repeated = marked.join(hot, F.col("mark") == F.col("hot")).select("row", "mark", F.pmod(F.monotonically_increasing_id(), F.col("over")).alias("salt"))
+        single = marked.join(hot, F.col("mark") == F.col("hot"), "left_anti").select("row", "mark", F.lit(0).cast("long").alias("salt"))
+        both = single.unionByName(stored(repeated, "copies"))
+        placed = both.select("row", F.pmod(F.xxhash64("mark", "salt"), F.lit(n)).cast("int").alias("batch"))
+    rest = F.struct(*(F.col(f"row.`{c}`") for c in docs.columns if c != text_col))
+    return placed.select("batch", F.col(f"row.`{text_col}`").cast("binary").alias("text"), rest.alias("rest")), n, size
 
 
 def part_bits(entries: int, per_part: int = 2_000_000) -> int:

@@ -47,3 +47,17 @@ def test_strip_keeps_columns_and_clean_texts(spark):
     got = {r["doc_id"]: (r["text"], r["rest"], r["batch"]) for r in S.strip(docs).collect()}
     assert got == {1: ("a b c", "rest", 1), 3: ("clean  text\n", None, 3), 4: (None, "x", None), None: ("", "x", 5)}
     assert S.strip(docs.limit(0)).count() == 0 and S.strip(docs).columns == docs.columns
+
+
+def test_rows_that_are_all_equal_go_to_many_batches(spark):
+    from halyard.llm import tally
+
+    hot = " ".join(f"w{i}" for i in range(60))
+    other = [(i, " ".join(f"v{i}x{j}" for j in range(50))) for i in range(100)]
+    docs = spark.createDataFrame([(700, hot, "a")] * 60 + [(i, t, "b") for i, t in other], "doc_id long, text string, row string")
+    placed, n, _ = tally.batches(docs, batch_bytes=3000)
+    sizes = [r["b"] for r in placed.groupBy("batch").agg({"text": "count"}).toDF("batch", "b").collect()]
+    assert n > 5 and placed.count() == 160 and max(sizes) < 60
+    assert placed.where("rest.row = 'a'").select("batch").distinct().count() > 2
+    for got in (S.removed(docs, batch_bytes=3000), S.removed(docs)):
+        assert sorted((r["rest"]["doc_id"], r["n_removed"]) for r in got.collect()) == sorted([(700, 60)] * 60 + [(i, 0) for i, _ in other])
