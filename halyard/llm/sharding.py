@@ -8,7 +8,7 @@ full at ``(1 + slack)`` times its even share. With no slack, shares differ by on
 Only the number of keys in each slot is needed to say which ranks of a slot go to which shard, so the
 walk runs over ``slots`` numbers, however many keys there are. The result is a table of rank ranges
 with at most ``slots + shards`` rows (a proven bound), which is broadcast to the keys. All work on keys
-is DataFrame operations: two passes over the input, one shuffle of keys by slot, no text in it.
+is DataFrame operations: two passes over the input, two shuffles of distinct keys, no text in them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SHARDS = 24
 VNODES = 64
 SLOTS = 4096
+COPIES = 100_000
 
 
 def ring(spark, shards: int, vnodes: int, slots: int) -> list[int]:
@@ -71,7 +72,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, vnodes: in
     """``doc_id, size, text_crc32, shard, slot``: each row's shard and its place in it, from 0 without gaps.
 
     Rows equal in id and text share a key and take neighbouring places; which is which does not matter.
-    Nulls are keys; texts of any length count by their bytes; an empty table gives an empty result.
+    Such rows are counted before they are ranked, so a row that is there a million times is one row up to
+    the last step. Nulls are keys; texts of any length count by their bytes; other columns are not read;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     keys = keyed(docs, slots, id_col, text_col)
@@ -80,6 +83,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, vnodes: in
     kind = "array<struct<ring_slot:int,low:long,high:long,shard:int,base:long>>"
     packed = json.dumps([dict(zip(("ring_slot", "low", "high", "shard", "base"), r, strict=True)) for r in ranges])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(packed), kind)))
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy("key", "doc_id", "text_crc32")) - 1)
+    distinct = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("copies"))
+    so_far = F.sum("copies").over(Window.partitionBy("slot").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = distinct.withColumn("first", so_far - F.col("copies"))
+    ranked = first.where(F.col("copies") <= COPIES).withColumn("rank", F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)))
+    if max(counts.values(), default=0) > COPIES:  # only then can one row have more copies than a task should write
+        many = first.where(F.col("copies") > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("part"))
+        until = F.least(F.col("part") + COPIES, F.col("copies"))
+        spread = many.repartition("key", "part").withColumn("rank", F.explode(F.sequence(F.col("first") + F.col("part"), F.col("first") + until - 1)))
+        ranked = ranked.unionByName(spread.drop("part"))
     placed = ranked.join(F.broadcast(table), (F.col("slot") == F.col("ring_slot")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).cast("long").alias("slot"))

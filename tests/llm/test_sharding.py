@@ -46,3 +46,14 @@ def test_growth_moves_few_rows(spark):
 
 def test_empty(spark):
     assert S.assign(docs(spark)[1].limit(0)).count() == 0
+
+
+def test_copies_are_counted_before_they_are_ranked(spark, monkeypatch):
+    monkeypatch.setattr(S, "COPIES", 40)
+    d = spark.range(900).selectExpr("if(id % 3 = 0, 1, id) AS doc_id", "if(id % 3 = 0, 'hot', cast(id AS string)) AS text")
+    got = S.assign(d).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 900 and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+    assert Counter(r["doc_id"] for r in got)[1] >= 300
