@@ -6,7 +6,8 @@ A merge changes three leaves at most, and each change climbs the tree once, so a
 O(n log n) steps however long it is. Encoding stops when the root holds no mergeable pair.
 
 Texts are normalised and split by the vocabulary file's own rules. These rules never look across
-ASCII white space, so encodings are kept by white-space-delimited chunk in a bounded store.
+ASCII white space, so encodings are kept by white-space-delimited chunk in a store that is bounded by
+bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from halyard.llm.common import bounded, portions, rows_of
 
 VOCABULARY = "word_bpe_49k.json"
 KEPT_CHUNKS = 1_000_000
+KEPT_BYTES = 128 << 20  # of chunks and their ids, in a worker
 LEARN_CHUNKS = 200_000
 LEARN_ROWS = 20_000
 TEXTS_BYTES = 4 << 20
@@ -171,6 +174,8 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         rules = Tokenizer.from_file(path)
+        if spec["model"].get("type", "BPE") != "BPE" or not spec["model"].get("end_of_word_suffix") or rules.normalizer is None or rules.normalizer.normalize_str("A\u00c9") != "a\u00e9":
+            raise ValueError(f"{path}: not a vocabulary of lower-case words with a word-end mark")
         self.normalise, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -190,6 +195,7 @@ class Codec:
         # a chunk of ASCII letters is one word under the rules, which then only lower its case
         self.plain = all([w for w, _ in self.split(self.normalise(x))] == [x.lower()] for x in ("Plain", "z", "STst")) and not any(t.isalpha() for t in self.special)
         self.chunks: dict[bytes, bytes] = {}
+        self.held = 0
 
     def symbols(self, word: str) -> list[int]:
         """First symbols of a word in the vocabulary's byte alphabet; the last one carries the word end."""
@@ -278,9 +284,10 @@ class Codec:
         stored = self.chunks
         new = {c for own in split for c in own if c not in stored}
         if new:
-            if len(stored) + len(new) > KEPT_CHUNKS:  # forget all, then learn all that these texts hold
+            if len(stored) + len(new) > KEPT_CHUNKS or self.held + sum(map(weight, new)) > KEPT_BYTES:  # forget all, then learn all that these texts hold
                 stored.clear()
-                new = {c for own in split for c in own}
+                self.held, new = 0, {c for own in split for c in own}
+            self.held += sum(map(weight, new))
             new = list(new)
             for at in range(0, len(new), LEARN_CHUNKS):
                 self.learn(new[at : at + LEARN_CHUNKS])
@@ -288,12 +295,26 @@ class Codec:
             yield b"".join(map(stored.__getitem__, own))
 
 
+@lru_cache
+def checked(vocabulary: str) -> None:
+    """Open the vocabulary once, so that a wrong one fails here and not in a task."""
+    Codec(vocabulary_path(vocabulary))
+
+
+def weight(chunk: bytes) -> int:
+    """The most that a chunk takes in the store: its bytes, an id a byte, and its entry."""
+    return 5 * len(chunk) + 170
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` for each row of ``docs``.
 
     A null text counts as empty and has no ids. Texts of any length are encoded whole; equal rows give
-    equal rows. ``vocabulary`` names a file of the public set; each executor opens its own copy.
+    equal rows; an empty table gives an empty result, and other columns are not read. ``vocabulary`` names
+    a file of the public set with merges, a normaliser that lowers case and a word-end mark; another kind
+    is refused with a ValueError. Each executor opens its own copy.
     """
+    checked(vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digests(codec: Codec, rows: Iterator[tuple]) -> Iterator[tuple]:

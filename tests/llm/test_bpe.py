@@ -53,3 +53,27 @@ def test_query(spark, library):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.decoded(bpe.encoded(docs.where("doc_id = 1"))).first()["text"] == library.decode(library.encode("Hello, world.", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.encoded(docs.limit(0)).count() == 0
+
+
+def test_store_is_bounded_by_bytes(monkeypatch):
+    import random
+
+    from halyard.llm import bpe as B
+
+    monkeypatch.setattr(B, "KEPT_BYTES", 2 << 20)
+    codec = B.Codec(B.vocabulary_path())
+    rng = random.Random(5)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("abcdé漢字") for _ in range(1500)) for _ in range(4)).encode() for _ in range(20)]
+        got = list(codec.all(texts))
+        assert got[0] == b"".join(int(i).to_bytes(4, "little") for i in codec.encode(texts[0].decode()))
+        assert codec.held <= 2 << 20 and sum(len(c) + len(v) for c, v in codec.chunks.items()) <= 2 << 20
+
+
+def test_other_vocabularies_are_refused(spark):
+    import pytest
+
+    from halyard.llm import bpe as B
+
+    with pytest.raises(ValueError, match="byte_bpe_50k"):
+        B.encoded(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "byte_bpe_50k.json")
