@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters and digits and of any other characters beyond ASCII, after lowering
 A-Z. A window is ``size`` consecutive words of a benchmark item; a shorter item is one window. Windows
-go into a sorted set of hashes that each executor holds with the items' words; document windows are
-looked up by hash and compared byte for byte, so a hit is a verified match. The set's size is counted
+go into a sorted set of hashes that each executor holds with the items' words; hashes of document
+windows come from those of their words, and what is found is compared byte for byte, so a hit is a
+verified match. The set's size is counted
 before it is broadcast. Beyond ``block_bytes`` the items are dealt into blocks: each block is one pass
 over the texts that returns rows with hits only, the hits of a row are put together, and whatever is cut
 or dropped is decided once, on the whole set of hits. So the result does not depend on the blocks, no
@@ -41,16 +42,21 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.items = [i for i, _ in items]
+        self.words: dict[bytes, int] = {}  # 0 is for words that no item has
+        split = [folded_words(text) for _, text in items]
+        for words in split:
+            for w in words:
+                self.words.setdefault(w, len(self.words) + 1)
+        self.codes = np.array([0, *(xxhash.xxh64_intdigest(w) for w in self.words)], dtype=np.uint64)
         found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         buffers, base = [], 0
-        for k, (_, text) in enumerate(items):
-            words = folded_words(text)
+        for k, words in enumerate(split):
             n = min(size, len(words))
             if not n:
                 continue
             buffer, starts, ends = word_spans(words)
             starts, ends = starts[: len(words) - n + 1], ends[n - 1 :]
-            found.setdefault(n, []).append((window_hashes(buffer, starts, ends), np.full(len(starts), k, dtype=np.int32), starts + base, (ends - starts).astype(np.int32)))
+            found.setdefault(n, []).append((self.hashes(words, n), np.full(len(starts), k, dtype=np.int32), starts + base, (ends - starts).astype(np.int32)))
             buffers.append(buffer)
             base += len(buffer)
         self.buffer = b"".join(buffers)
@@ -60,32 +66,45 @@ class Windows:
             order = np.argsort(columns[0], kind="stable")
             self.by_words[n] = tuple(c[order] for c in columns)
 
+    def hashes(self, words: list[bytes], n: int) -> np.ndarray:
+        """A hash of each run of n words, from the hashes of its words."""
+        get = self.words.get
+        return rolled(self.codes[[get(w, 0) for w in words]], n)
+
     def hits(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, spans (first, number) of hit windows, and the items found."""
         words = folded_words(text)
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        if words and self.by_words:
-            buffer, starts, ends = word_spans(words)
-            for n, (hashes, item, at, length) in self.by_words.items():
-                if len(words) < n:
-                    continue
-                first, last = starts[: len(words) - n + 1], ends[n - 1 :]
-                own = window_hashes(buffer, first, last)
-                left = np.searchsorted(hashes, own)
-                for i in np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own).tolist():
-                    window = buffer[first[i] : last[i]]
-                    right = np.searchsorted(hashes, own[i], "right")
-                    same = [k for k in range(left[i], right) if length[k] == len(window) and self.buffer[at[k] : at[k] + length[k]] == window]
-                    if same:
-                        spans.append((i, n))
-                        items.update(self.items[k] for k in item[same].tolist())
+        if not words or not self.by_words:
+            return len(words), spans, items
+        get = self.words.get
+        codes = self.codes[[get(w, 0) for w in words]]
+        placed = None
+        for n, (hashes, item, at, length) in self.by_words.items():
+            if len(words) < n:
+                continue
+            own = rolled(codes, n)
+            left = np.searchsorted(hashes, own)
+            for i in np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == own).tolist():
+                placed = placed or word_spans(words)
+                buffer, starts, ends = placed
+                window = buffer[starts[i] : ends[i + n - 1]]
+                right = np.searchsorted(hashes, own[i], "right")
+                same = [k for k in range(left[i], right) if length[k] == len(window) and self.buffer[at[k] : at[k] + length[k]] == window]
+                if same:
+                    spans.append((i, n))
+                    items.update(self.items[k] for k in item[same].tolist())
         return len(words), spans, items
 
 
-def window_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(buffer[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+def rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial in the codes of each n neighbours."""
+    m = len(codes) - n + 1
+    out = codes[:m].copy()
+    for k in range(1, n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : m + k]
+    return out
 
 
 def covered(n: int, spans: list[tuple[int, int]]) -> int:
@@ -107,10 +126,15 @@ def blocks_of(benchmark: DataFrame, block_bytes: int, size: int = SIZE) -> int:
     """Into how many blocks the items go, from what their windows, words and ids take while a set is built."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total, distinct = 0, set()
         for (text,) in rows_of(batches, "text"):
-            words = len(folded_words(text))
+            split = folded_words(text)
+            words = len(split)
+            distinct.update(split)
+            if len(distinct) > 100_000:
+                total, distinct = total + sum(len(w) + 160 for w in distinct), set()
             total += 1000 + 4 * len(text or b"") + 96 * (words - min(size, words) + 1)  # objects, words, arrays and their sorted copies
+        total += sum(len(w) + 160 for w in distinct)
         yield pa.RecordBatch.from_arrays([pa.array([total], type=pa.int64())], names=["b"])
 
     taken = benchmark.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "b long")
@@ -159,7 +183,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: i
     ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``; other columns are not read. A
     null text has no words; an item that is null, or has no words, or has a null id, has no windows.
     Equal rows give equal rows; empty tables give no hits or no rows. Texts may be of any length: a row
-    is held with the hashes of its windows, ten bytes a word.
+    is held with the codes of its words and the hashes of its windows, some 24 bytes a word.
     """
     items = items_of(benchmark)
     blocks = blocks_of(items, block_bytes, size)
