@@ -26,6 +26,7 @@ index links is only a candidate: the shingle sets are compared, and groups come
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -381,6 +382,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.trim(F.regexp_replace(plain, r"[ \t\n\x0B\f\r]+", " "))))
 
 
+def key_of(text: bytes | None) -> bytes:
+    """As :func:`text_key`."""
+    return hashlib.md5(b" ".join((text or b"").lower().split()), usedforsecurity=False).digest()
+
+
 def dealt_masks(node_bits: int = NODE_BITS, ways: int = WAYS) -> np.ndarray:
     """Masks (rows of words) of ``ways`` deals of all bits into masks of ``node_bits``, the same in every run."""
     rng = np.random.default_rng(SEED)
@@ -425,20 +431,19 @@ def representatives(
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("f0", pa.int64()), ("f1", pa.int64()), ("n", pa.int64())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(i: int | None, key: bytes, text: bytes | None) -> tuple:
+        def row(i: int | None, text: bytes | None) -> tuple:
             found = np.array(hashed(text, shingle), dtype=np.uint64)
-            return i, key, signed(vote(found)), signed(vote(mixed(found))), len(np.unique(found))
+            return i, key_of(text), signed(vote(found)), signed(vote(mixed(found))), len(np.unique(found))
 
-        yield from bounded((row(*r) for r in rows_of(batches, "doc_id", "key", "text")), schema)
+        yield from bounded((row(*r) for r in rows_of(batches, "doc_id", "text")), schema)
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    marked = keyed.mapInArrow(mark, "doc_id long, key binary, f0 long, f1 long, n long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    marked = texts.mapInArrow(mark, "doc_id long, key binary, f0 long, f1 long, n long")
     nodes = cut(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("n").alias("n")))
     groups = components(wide_links(nodes.where("n > 0"), max_bits, node_bits, ways)).withColumnsRenamed({"node": "item"})
     members = cut(nodes.join(groups, F.xxhash64("key") == F.col("item")).select("key", "least", "f0", "f1", "n", "root"))
-    asked = members.select(F.col("least").alias("own_id"), F.col("key").alias("own"))
-    texts = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own")), "left_semi")
-    edges = similar_pairs(members, shingle_sets(texts, shingle), least, block_docs, block_shingles)
+    asked = texts.join(members.select(F.col("least").alias("own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    edges = similar_pairs(members, shingle_sets(asked, shingle), least, block_docs, block_shingles)
     classes = components(edges).withColumnRenamed("node", "key")
     place = F.struct(F.col("least").isNull().alias("none"), "least", "key")
     ranked = nodes.select("key", "least").join(classes, "key")
@@ -473,11 +478,10 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("key", pa.binary()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, np.unique(np.array(hashed(t, shingle), dtype="<u8")).tobytes()) for k, t in rows_of(batches, "key", "text"))
+        rows = ((key_of(t), np.unique(np.array(hashed(t, shingle), dtype="<u8")).tobytes()) for _, t in rows_of(batches, "doc_id", "text"))
         yield from bounded(rows, schema, weight=lambda r: len(r[1]))
 
-    one = texts.groupBy("key").agg(F.min("text").alias("text"))
-    return one.mapInArrow(run, "key binary, held binary")
+    return texts.mapInArrow(run, "key binary, held binary").groupBy("key").agg(F.min("held").alias("held"))
 
 
 def similar_pairs(members: DataFrame, sets: DataFrame, least: float, block_docs: int, block_shingles: int) -> DataFrame:

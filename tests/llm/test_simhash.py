@@ -216,3 +216,11 @@ def test_representatives_with_clashing_columns_and_repeated_rows(spark):
     rows = [(2, "a b c d e f", 1, 2, 3)] * 5 + [(1, "A b  c d e f", 4, 5, 6), (None, "g h i j k l", 7, 8, 9), (None, None, 1, 1, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key int, root int, n int")
     assert sorted((r["doc_id"] for r in S.representatives(docs).collect()), key=str) == [1, None, None]
+
+
+def test_keys_agree(spark):
+    from pyspark.sql import functions as F
+
+    texts = [None, "", " ", "A  b\tC", "a b c", "\u00c9 \u00e9\u0085x\u00a0y", "x\x0b\x0c\ry\n", "\x1c a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.text_key(F.col("t")).alias("k")).collect()
+    assert {r["i"]: bytes(r["k"]) for r in rows} == {i: S.key_of(None if t is None else t.encode()) for i, t in enumerate(texts)}
