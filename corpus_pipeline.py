@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import bpe, decontaminate, language, simhash, substring
-from halyard.session import shared_path
+from halyard.session import discard, shared_path
 
 #: Five words to a shingle, a similarity of 0.8 or more.
 SHINGLE, LEAST = 5, 0.8
@@ -32,9 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = repeated_ids(docs)
     own = first_texts(docs) if repeated else docs
     kept = simhash.representatives(own, SHINGLE, least=LEAST).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    keyed = own.withColumn("text_key", simhash.text_key(F.col("text")))
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "text_key"]) if repeated else rows).drop("text_key")
+    rows = own.join(kept.where("kept_id is not null").select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    rows = rows.dropDuplicates(["doc_id"]) if repeated else rows
+    bare = own.where("doc_id is null").withColumn("text_key", simhash.text_key(F.col("text")))
+    bare = bare.join(kept.where("kept_id is null").select("kept_key"), F.col("text_key") == F.col("kept_key"), "left_semi").dropDuplicates(["text_key"])
+    return rows.unionByName(bare.drop("text_key"))
 
 
 def repeated_ids(docs: DataFrame) -> bool:
@@ -79,10 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each written as Parquet and read again; a stage's rows go when the next has written its own."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old is not None:
+            discard(spark, old)
+        old = path
     return docs
