@@ -46,7 +46,8 @@ LEAF_BUCKET = 48
 PART_ENTRIES = 2 << 20
 WORDS = 2  # words of the wide fingerprint
 NODE_BITS, WAYS = 16, 8
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
+SETTLED_EDGES = 200_000  # so many edges, some 50 MB, are connected in one task
 QUERY_BLOCK = 512
 SEARCH_PAIRS = 4 << 20  # a block of searches visits at most so many words of leaves at once
 
@@ -327,14 +328,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root``: a common root for all nodes that edges (a, b) connect.
 
     Each round hooks every node to the neighbour (or itself) with the least hash of that round and
-    contracts the edges, so a constant share of nodes goes in expectation, whatever the ids are.
+    contracts the edges, so a constant share of nodes goes in expectation, whatever the ids are. Once no
+    more than ``SETTLED_EDGES`` edges are left, one task connects them.
     """
     held = Rounds(edges.sparkSession)
     edges = held.keep(edges)
     reach = None
     for turn in range(rounds):
-        if edges.isEmpty():
-            break
+        if edges.count() <= SETTLED_EDGES:
+            rest = settled(edges)
+            if reach is None:
+                return rest
+            return reach.join(rest.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("m"))
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("b"))
@@ -348,9 +353,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         second = hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
         edges = held.keep(edges.join(first, "a").join(second, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         held.turn()
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if reach is None else reach
+    raise RuntimeError("components did not settle")
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """As :func:`components`, in one task, for no more than ``SETTLED_EDGES`` edges."""
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = pa.schema([(c, pa.int64() if kind == "bigint" else pa.binary()) for c in ("node", "root")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def find(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for a, b in rows_of(batches, "a", "b"):
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        yield from bounded(((x, find(x)) for x in list(up)), schema)
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,6 +522,8 @@ def similar_pairs(members: DataFrame, sets: DataFrame, least: float, block_docs:
     blocks = F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)).cast("long")
     held = cut(members.select("key", "f0", "f1", "n", "root").join(sets, "key").join(size.select("root", blocks.alias("blocks")), "root"))
     large = held.where("blocks > 1")
+    if large.isEmpty():
+        return met_blocks(held.select("root", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("block"), "key", "held"), least)
     hubs = hubs_of(large)
     spread = F.pmod(F.xxhash64("key"), F.col("blocks"))
     shared = hubs.select(F.col("root").alias("hub_root"), F.col("key").alias("hub"), F.col("held").alias("hub_held"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hub_block"))

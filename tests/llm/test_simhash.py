@@ -93,6 +93,18 @@ def test_query_on_edge_cases(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(params=[0, 100, 10**6])
+def settled_edges(request, monkeypatch):
+    monkeypatch.setattr(S, "SETTLED_EDGES", request.param)
+
+
+def test_components_of_a_long_chain_by_rounds_and_at_once(spark, settled_edges):
+    edges = spark.range(120).selectExpr("id AS a", "id + 1 AS b")
+    found = S.components(edges)
+    assert found.select("root").distinct().count() == 1 and found.count() == 121
+    assert S.components(edges.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     found = S.components(edges)
