@@ -46,7 +46,7 @@ LEAF_BUCKET = 48
 PART_ENTRIES = 2 << 20
 WORDS = 2  # words of the wide fingerprint
 NODE_BITS, WAYS = 16, 8
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 250_000
 SETTLED_EDGES = 200_000  # so many edges, some 50 MB, are connected in one task
 QUERY_BLOCK = 512
 SEARCH_PAIRS = 4 << 20  # a block of searches visits at most so many words of leaves at once
