@@ -24,8 +24,8 @@ def tfidf(tf: DataFrame, n: DataFrame) -> DataFrame:
     """Unit-length weights: ``1 + ln tf`` times ``ln((1 + n) / (1 + df)) + 1``. ``n`` is one row with the number of documents."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(df, "term").join(F.broadcast(n)).select("doc_id", "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    size = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return w.join(size, "doc_id").select("doc_id", "term", (F.col("w") / F.col("size")).alias("w"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return w.select("doc_id", "term", (F.col("w") / size).alias("w"))
 
 
 def cosine(weights: DataFrame, every: int = EVERY) -> DataFrame:
@@ -35,16 +35,20 @@ def cosine(weights: DataFrame, every: int = EVERY) -> DataFrame:
 
 
 def bm25(tf: DataFrame, every: int = EVERY, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """Okapi scores; an inverse frequency below zero becomes ``floor`` times the mean of all."""
+    """Okapi scores; an inverse frequency below zero becomes ``floor`` times the mean of all.
+
+    The weight of a term in a document is complete before pairs are formed, so pairs carry one number.
+    """
     sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     queries = tf.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    rows = tf.join(queries, "term").where("doc_id <> query_id").join(idf, "term").join(sizes, "doc_id").join(F.broadcast(corpus))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weights = tf.join(idf, "term").join(sizes, "doc_id").join(F.broadcast(corpus)).select("doc_id", "term", part.alias("w"))
+    pairs = weights.join(queries, "term").where("doc_id <> query_id").select("query_id", "doc_id", (F.col("qtf") * F.col("w")).alias("part"))
+    return pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:

@@ -64,10 +64,10 @@ def flt11_option_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options.where(F.lower("option").contains("R#00000012".lower()))
 
 
-@query(DECIDED + f", {predictions_sql('b', 'other')}, o AS (SELECT DISTINCT row_id, truth FROM other WHERE row_id % 3 <> 0) SELECT d.row_id, d.truth = o.truth AS consistent FROM d JOIN o USING (row_id) WHERE d.row_id % 2 = 0")
-def jn10_in_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(DECIDED + f", {predictions_sql('b', 'other')}, o AS (SELECT DISTINCT row_id, truth FROM other) SELECT d.row_id, d.truth = o.truth AS consistent FROM d JOIN o USING (row_id)")
+def jn10_all_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (predictions(spark, sf_dir, m) for m in "ab")
-    return P.in_all([a.where("row_id % 2 = 0"), b.where("row_id % 3 <> 0"), a], "row_id")
+    return P.in_all([a, b], "row_id")
 
 
 @query("SELECT r_name, n_name, c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer), nation JOIN region ON n_regionkey = r_regionkey")
@@ -153,11 +153,11 @@ def ml11_blended_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("row_id", "label", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("row_id")), 4).alias("p"))
 
 
-@query(f"WITH {TICKETS}, r AS (SELECT request_id, category, service, row_number() OVER (PARTITION BY category ORDER BY substr(sha256(CAST(request_id AS VARCHAR)), 1, 16), request_id) - 1 AS i FROM tickets) SELECT CAST(i // 4 AS BIGINT) AS batch, category, request_id FROM r WHERE i < 40")
-def ml13_balanced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches with four rows of every class."""
+@query(f"WITH {TICKETS}, r AS (SELECT request_id, category, service, row_number() OVER (PARTITION BY category ORDER BY substr(sha256(CAST(request_id AS VARCHAR)), 1, 16), request_id) - 1 AS i FROM tickets) SELECT CAST(i // 4 AS BIGINT) AS batch, category, request_id FROM r")
+def ml13_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in batches with four rows of every class that has as many left."""
     own = Window.partitionBy("category").orderBy(S.fingerprint("request_id", 16), "request_id")
-    rows = tickets(spark, sf_dir).select("request_id", "category", (F.row_number().over(own) - 1).alias("i")).where("i < 40")
+    rows = tickets(spark, sf_dir).select("request_id", "category", (F.row_number().over(own) - 1).alias("i"))
     return rows.select(F.expr("cast(i div 4 AS bigint)").alias("batch"), "category", "request_id")
 
 
@@ -244,18 +244,9 @@ def ex12_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.sum(h).cast("string").cast("binary"), 256).alias("seal"))
 
 
-@query(f"WITH {TICKETS} SELECT request_id, CASE WHEN request_id % 2 = 0 THEN category END AS category, 'none' AS added FROM tickets WHERE request_id < 500 UNION ALL SELECT request_id, category, 'new' FROM tickets WHERE request_id BETWEEN 500 AND 999")
-def dml10_added_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old rows without a column beside new rows with it."""
-    rows = tickets(spark, sf_dir).select("request_id", "category")
-    old = rows.where("request_id < 500").withColumn("category", F.when(F.col("request_id") % 2 == 0, F.col("category")))
-    new = rows.where("request_id BETWEEN 500 AND 999").withColumn("added", F.lit("new"))
-    return old.unionByName(new, allowMissingColumns=True).withColumn("added", F.coalesce("added", F.lit("none")))
-
-
 @query(f"WITH {TICKETS} SELECT request_id, CASE WHEN registration_date >= TIMESTAMP '1998-01-01' OR request_id % 2 = 0 THEN category END AS category, CASE WHEN registration_date >= TIMESTAMP '1998-01-01' THEN 'new' ELSE 'none' END AS added FROM tickets")
 def dml10_added_column_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As dml10_added_column, over all tickets: old and new by date."""
+    """Old rows without a column beside new rows with it, old and new by date."""
     rows = tickets(spark, sf_dir).select("request_id", "category", (F.col("registration_date") >= F.lit("1998-01-01").cast("timestamp")).alias("late"))
     old = rows.where("NOT late").drop("late").withColumn("category", F.when(F.col("request_id") % 2 == 0, F.col("category")))
     new = rows.where("late").drop("late").withColumn("added", F.lit("new"))

@@ -124,16 +124,9 @@ def flt9_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where((F.col("event_type") == "error") | (F.col("value") < 3) | (F.from_json("props", "k long")["k"] > 90)).select("event_id")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('signup', 'error') AND contains(lower(event_type), 'ch') ORDER BY CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END, event_id LIMIT 100")
-def st3_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    own = table(spark, sf_dir, "events").where(~F.col("event_type").isin("signup", "error") & F.lower("event_type").contains("ch"))
-    return own.select("event_id", "event_type").orderBy(rank, "event_id").limit(100)
-
-
 @query("SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS rank FROM events ORDER BY rank, event_id")
 def st3_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As st3_queue, over all events."""
+    """The queue in order of rank and id."""
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
     return table(spark, sf_dir, "events").select("event_id", "event_type", rank.alias("rank")).orderBy("rank", "event_id")
 

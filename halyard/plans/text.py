@@ -35,18 +35,30 @@ def sc10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_types"))
 
 
-@query(f"SELECT gram, count(*) AS n FROM (SELECT unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM (SELECT {TOKENS} AS w FROM documents)) GROUP BY 1 ORDER BY n DESC, gram LIMIT 100")
-def sc11_word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = docs(spark, sf_dir).select(F.explode(S.word_ngrams(S.tokens("text"), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
-
-
-@query(f"WITH w AS (SELECT ' ' || unnest({TOKENS}) || ' ' AS w FROM documents), g AS (SELECT CASE WHEN length(w) <= 3 THEN w ELSE substr(w, i, 3) END AS gram FROM (SELECT w, unnest(range(1, greatest(2, length(w) - 1))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 100")
-def sc11_char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grams of each distinct word once, times how often it occurs."""
-    words = docs(spark, sf_dir).select(F.explode(S.tokens("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    grams = words.select("c", F.explode(S.char_ngrams(F.array("w"), 3)).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+NGRAMS = "SELECT doc_id, k, count(*) AS n, count(DISTINCT gram) AS n_distinct, min(gram) AS first, max(gram) AS last FROM g GROUP BY 1, 2"
+
+
+def ngram_report(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gram").alias("n_distinct"), F.min("gram").alias("first"), F.max("gram").alias("last"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), g AS (SELECT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (SELECT unnest([1, 2, 3])::BIGINT AS k) WHERE len(w) >= k)) {NGRAMS}")
+def sc11_word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one to three words of each document."""
+    words = docs(spark, sf_dir).select("doc_id", S.tokens("text").alias("w"))
+    grams = [words.select("doc_id", F.lit(k).cast("long").alias("k"), F.explode(S.word_ngrams(F.col("w"), k)).alias("gram")) for k in (1, 2, 3)]
+    return ngram_report(grams[0].unionByName(grams[1]).unionByName(grams[2]))
+
+
+@query(f"WITH t AS (SELECT doc_id, ' ' || unnest({TOKENS}) || ' ' AS w FROM documents), g AS (SELECT doc_id, k, CASE WHEN length(w) <= k THEN w ELSE substr(w, i, k) END AS gram FROM (SELECT doc_id, w, k, unnest(range(1, greatest(2, length(w) - k + 2))) AS i FROM t, (SELECT unnest([2, 3, 4, 5, 6])::BIGINT AS k))) {NGRAMS}")
+def sc11_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two to six characters in the words of each document."""
+    words = docs(spark, sf_dir).select("doc_id", S.tokens("text").alias("w"))
+    found = None
+    for k in range(2, 7):
+        grams = words.select("doc_id", F.lit(k).cast("long").alias("k"), F.explode(S.char_ngrams(F.col("w"), k)).alias("gram"))
+        found = grams if found is None else found.unionByName(grams)
+    return ngram_report(found)
 
 
 @query(WEIGHTS + " SELECT doc_id, count(*) AS n, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM weights GROUP BY 1")
