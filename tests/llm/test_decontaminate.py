@@ -71,7 +71,7 @@ def test_strip_does_not_depend_on_the_blocks(spark):
         one = D.strip(d, b, mode)
         want = sorted(map(tuple, one.collect()), key=str)
         assert one.columns == d.columns and any(t == "start  tail" for _, t, _ in want) == (mode == "spans")
-        for block_bytes in (20_000, 9_000, 4_000):
+        for block_bytes in (20_000, 9_000):
             assert D.blocks_of(D.items_of(b), block_bytes) > 1
             many = D.strip(d, b, mode, block_bytes=block_bytes)
             assert many.columns == d.columns and sorted(map(tuple, many.collect()), key=str) == want
