@@ -20,7 +20,7 @@ Components come from repeated contraction of links in Spark; nothing is collecte
 shingles of similarity 0.8 differ in about 15 % of the bits, which no choice of untouched blocks of 64
 bits can cover, so it takes fingerprints of 128 bits and, as upper nodes, masks of 16 bits: eight ways
 of dealing 128 bits into eight masks. A pair of similarity 0.8 shares one of the 64 patterns and stays
-within 26 bits with a probability of 0.90, one of 0.85 with 0.98 (``recall`` has the numbers). What the
+within 26 bits with a probability of 0.92, one of 0.85 with 0.98 (``recall`` has the numbers). What the
 index links is only a candidate: the shingle sets are compared, and groups come from those links alone.
 """
 
