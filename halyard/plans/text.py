@@ -127,13 +127,11 @@ def pl21_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights(spark, sf_dir).where(F.length("term") > 2).select("doc_id", "term", F.row_number().over(own).cast("long").alias("rank")).where("rank <= 3")
 
 
-@query("WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 6) AS ratio FROM n x JOIN n y ON x.a < y.a AND left(x.a, 2) = left(y.a, 2) AND abs(length(x.a) - length(y.a)) <= 3 WHERE 1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)) >= 0.6")
-def jn14_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names at an edit ratio of 0.6 or more, within blocks of the first two letters."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.substring("p_name", 1, 2).alias("block")).distinct()
-    other = names.withColumnRenamed("a", "b")
-    pairs = names.join(other, "block").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 3))
-    return pairs.select("a", "b", F.round(S.edit_ratio("a", "b"), 6).alias("ratio")).where(S.edit_ratio("a", "b") >= 0.6)
+@query("WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 6) AS ratio FROM n x JOIN n y ON x.a < y.a WHERE 1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)) >= 0.6")
+def jn14_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names at an edit ratio of 0.6 or more."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return R.edit_pairs(names, 0.6).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("SELECT page_id, regexp_matches(html, '(?i)password|secret|token') AS leak, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
@@ -42,6 +42,15 @@ def by_alias(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in pick.items()))
 
 
+def by_config(df: DataFrame, columns: dict[str, str], defaults: dict[str, object]) -> DataFrame:
+    """Logical columns by their configured physical names; where one is absent or null, its default."""
+    def value(name: str, physical: str) -> Column:
+        own = F.col(f"`{physical}`") if physical in df.columns else F.lit(None)
+        return F.coalesce(own, F.lit(defaults.get(name))) if name in defaults else own
+
+    return df.select(*(value(n, c).alias(n) for n, c in columns.items()))
+
+
 def staged(df: DataFrame, batch_id: str, text: str = "description", key: str = "request_id", first_row: int = 2, least: int = 10) -> DataFrame:
     """Upload rows with a row number, a state and flags; rows without any value are dropped.
 
@@ -84,6 +93,13 @@ def hash_manifest(spark: SparkSession, uri: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def verified(found: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:
+    """``key, state`` of two manifests with ``sha256``: same, changed, missing (not found) or new (not expected)."""
+    rows = found.select(key, F.col("sha256").alias("own")).join(expected.select(key, F.col("sha256").alias("want")), key, "full")
+    state = F.when(F.col("own").isNull(), "missing").when(F.col("want").isNull(), "new").when(F.col("own") == F.col("want"), "same").otherwise("changed")
+    return rows.select(key, state.alias("state"))
+
+
 def cached_scores(rows: DataFrame, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Values of a costly function by content: those in the cache, and those that are new (to append to it).
 

@@ -151,3 +151,25 @@ def test_queue_has_every_event_in_order(spark):
 
     got = [(r["rank"], r["event_id"]) for r in entry.queries()["st3_queue_all"](spark, "/root/testdata/sf0.001").collect()]
     assert got == sorted(got) and {r for r, _ in got} == {0, 1, 2} and len(got) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_edit_pairs_are_all_pairs(spark):
+    import random
+
+    from halyard.operators import retrieval as R
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(150)}
+    df = spark.createDataFrame([(n,) for n in [*names, "ab", "ab"]] + [(None,)], "name string")
+    for least in (0.6, 0.8, 1.0):
+        want = {(a, b) for a in names for b in names if a < b and a and 1 - distance(a, b) / max(len(a), len(b)) >= least}
+        assert {(r["a"], r["b"]) for r in R.edit_pairs(df, least).collect()} == want
+    assert R.edit_pairs(df.limit(0)).count() == 0

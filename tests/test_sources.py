@@ -67,3 +67,23 @@ def test_cache_computes_only_what_is_new(spark):
     assert all_rows.count() == 3 and new.count() == 2
     more, newer = X.cached_scores(rows.unionAll(spark.createDataFrame([("cc",)], "text string")), new, length)
     assert more.count() == 4 and newer.count() == 1
+
+
+def test_written_workbooks(spark, tmp_path):
+    rows = [(i, f" a<{i}>&\"b\" ", None if i % 3 else i / 7, i % 2 == 0) for i in range(25)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, x double, even boolean").coalesce(2)
+    names = W.write_workbooks(df, f"file://{tmp_path}/w", "b", rows=10)
+    assert len(names) == len(set(names)) >= 3 and names == sorted(names)
+    got = {r["id"]: (r["text"], r["x"], r["even"]) for r in W.read_workbook(spark, f"{tmp_path}/w").collect()}
+    want = {str(i): (t, x, e) for i, t, x, e in rows if i is not None}
+    assert {k: (t, None if x is None else float(x), e == "true") for k, (t, x, e) in got.items()} == want
+    kinds = {(r["name"], r["kind"]): r["n"] for r in W.cell_kinds(spark, f"file://{tmp_path}/w").collect()}
+    assert kinds == {("id", "number"): 25, ("text", "inline"): 25, ("even", "boolean"): 25, ("x", "number"): 9, ("x", "empty"): 16}
+    assert W.first_book(f"file://{tmp_path}/w").endswith(names[0])
+    assert W.write_workbooks(df.limit(0), f"file://{tmp_path}/e") == []
+
+
+def test_manifest_states(spark):
+    found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
+    expected = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")
+    assert {r["path"]: r["state"] for r in X.verified(found, expected).collect()} == {"a": "same", "b": "changed", "c": "new", "d": "missing"}
