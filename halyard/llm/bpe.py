@@ -321,7 +321,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
         for part in portions(rows, TEXTS_BYTES):
             for (doc_id, _), ids in zip(part, codec.all([t or b"" for _, t in part]), strict=True):
                 view = memoryview(ids).cast("I")
-                yield doc_id, len(view), view.tolist() if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(view).encode()).hexdigest()
+                yield doc_id, len(view), np.frombuffer(ids, dtype="<i4") if keep_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(view).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary_path(vocabulary))
