@@ -127,3 +127,30 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
+
+
+def route_prior(tickets: DataFrame, least: int = 3) -> DataFrame:
+    """``category, final_line, prior`` from history: smoothed by one a line; categories with fewer than ``least`` rows have none.
+
+    Rows that an operator reviewed are left out. Lines are a fixed handful.
+    """
+    counts = tickets.where("source_hash <> 'operator-review'").groupBy("category", "final_line").agg(F.count(F.lit(1)).alias("n"))
+    enough = counts.groupBy("category").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+    lines = tickets.select("final_line").distinct().agg(F.sort_array(F.collect_set("final_line")).alias("lines"))
+    spine = enough.join(F.broadcast(lines)).select("category", "total", F.size("lines").alias("k"), F.explode("lines").alias("final_line"))
+    return spine.join(counts, ["category", "final_line"], "left").select("category", "final_line", ((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("k"))).alias("prior"))
+
+
+def routed(rows: DataFrame, model: DataFrame, likely: DataFrame, prior: DataFrame, share: float = 0.45) -> DataFrame:
+    """``request_id, final_line, p``: the likeliest line of each row.
+
+    ``model`` has ``request_id, final_line, p``; ``likely`` the weighted categories of each service. Their
+    priors are mixed once a service; a service without any prior leaves the model alone. Ties go to the
+    line that sorts first.
+    """
+    mixed = likely.join(prior, "category").groupBy("service", "final_line").agg((F.sum(F.col("weight") * F.col("prior")) / F.sum("weight")).alias("prior"))
+    p = F.when(F.col("prior").isNull(), F.col("p")).otherwise(share * F.col("p") + (1 - share) * F.col("prior"))
+    lines = rows.join(model, "request_id").join(mixed, ["service", "final_line"], "left").select("request_id", "final_line", p.alias("p"))
+    ways = lines.groupBy("request_id").agg(F.sum("p").alias("total"), F.collect_list(F.struct("p", "final_line")).alias("ways"))  # one entry a line
+    best = F.sort_array(F.transform("ways", lambda w: F.struct((-F.round(w["p"] / F.col("total"), 4)).alias("p"), w["final_line"].alias("final_line"))))[0]
+    return ways.select("request_id", best["final_line"].alias("final_line"), (-best["p"]).alias("p"))

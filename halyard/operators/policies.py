@@ -45,6 +45,42 @@ def dropped(rows: DataFrame, fields: list[str], scenario: str, rate: float, seed
     return rows.withColumns({f: F.when(S.uniform(F.lit(scenario), key, F.lit(f), seed=seed) >= rate, F.col(f)) for f in fields})
 
 
+#: The optional fields of a record, and which of them each scenario without chance removes.
+OPTIONAL = ("description", "user", "service", "component", "request_type", "criticality", "urgency", "priority", "service_class", "timezone")
+REMOVED = {
+    "full": (),
+    "description_only": OPTIONAL[1:],
+    "metadata_only": ("description",),
+    "no_component": ("component",),
+    "no_service": ("service",),
+    "no_request_type": ("request_type",),
+    "no_priority_criticality": ("priority", "criticality"),
+}
+#: The share of fields that each scenario of chance removes; the last one removes only components.
+CHANCE = {"random_dropout_10": 0.1, "random_dropout_30": 0.3, "random_dropout_50": 0.5}
+EMPIRICAL = ("empirical_missingness", {"component": 619 / 1931})
+
+
+def scenarios(rows: DataFrame, key: str, seed: int = 20260917) -> DataFrame:
+    """Each row under each of eleven scenarios of missing fields, in one pass; absent fields are added as null.
+
+    Chance depends on seed, scenario, key and field alone, so a run repeats and no row affects another.
+    """
+    names = [*REMOVED, *CHANCE, EMPIRICAL[0]]
+    whole = rows.withColumns({f: F.lit(None).cast("string") for f in OPTIONAL if f not in rows.columns})
+    spread = whole.withColumn("scenario", F.explode(F.array(*map(F.lit, names))))
+
+    def left(field: str) -> Column:
+        gone = F.col("scenario").isin([name for name, fields in REMOVED.items() if field in fields])
+        rate = F.lit(0.0)
+        for name, share in CHANCE.items():
+            rate = F.when(F.col("scenario") == name, share).otherwise(rate)
+        rate = F.when(F.col("scenario") == EMPIRICAL[0], EMPIRICAL[1].get(field, 0.0)).otherwise(rate)
+        return F.when(~gone & (S.uniform("scenario", key, F.lit(field), seed=seed) >= rate), F.col(field))
+
+    return spread.withColumns({f: left(f) for f in OPTIONAL})
+
+
 def with_typo(text: Column, key: str, seed: int) -> Column:
     """Two neighbouring characters exchanged at a place that key and seed decide; short texts stay."""
     at = (F.floor(S.uniform(key, seed=seed) * (F.length(text) - 3)) + 2).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halyard.functions import scalars as S
 from halyard.operators import analytics as A
 from halyard.plans.registry import query
-from halyard.sources.domain import TICKETS, table, tickets
+from halyard.sources.domain import TICKETS, predictions, predictions_sql, table, tickets
 
 START, END = date(1996, 3, 1), date(1999, 10, 31)
 WHERE = "registration_date >= TIMESTAMP '1996-03-01' AND registration_date < TIMESTAMP '1999-11-01'"
@@ -197,6 +197,27 @@ def pl05_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("p"), "final_line")).cast("long"))
 
 
+PRIOR = """p AS (SELECT category, final_line, count(*) AS n FROM tickets WHERE source_hash <> 'operator-review' GROUP BY ALL), lines AS (SELECT DISTINCT final_line FROM tickets),
+cats AS (SELECT category, sum(n) AS total FROM p GROUP BY 1 HAVING sum(n) >= 3),
+prior AS (SELECT c.category, l.final_line, (coalesce(p.n, 0) + 1) / (c.total + 3) AS prior FROM cats c, lines l LEFT JOIN p ON p.category = c.category AND p.final_line = l.final_line)"""
+
+
+@query(f"""WITH {TICKETS}, {PRIOR}, {predictions_sql('a', 'model')},
+counted AS (SELECT service, category, count(*) AS n FROM tickets GROUP BY ALL), likely AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY service ORDER BY n DESC, category) <= 3),
+mixed AS (SELECT service, final_line, sum(n * prior) / sum(n) AS prior FROM likely JOIN prior USING (category) GROUP BY ALL),
+r AS (SELECT t.request_id, m.label AS final_line, CASE WHEN x.prior IS NULL THEN m.p ELSE 0.45 * m.p + 0.55 * x.prior END AS p FROM tickets t JOIN model m ON m.row_id = t.request_id LEFT JOIN mixed x ON x.service = t.service AND x.final_line = m.label),
+n AS (SELECT request_id, final_line, round(p / sum(p) OVER (PARTITION BY request_id), 4) AS p FROM r)
+SELECT request_id, final_line, p, p >= 0.55 AS accepted FROM n QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY p DESC, final_line) = 1""")
+def pl05_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of each ticket: its model's probabilities mixed with the history of the three likeliest categories of its service."""
+    rows = tickets(spark, sf_dir)
+    likely = rows.groupBy("service", "category").agg(F.count(F.lit(1)).alias("n"))
+    likely = likely.withColumn("i", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("n"), "category"))).where("i <= 3")
+    model = predictions(spark, sf_dir).select(F.col("row_id").alias("request_id"), F.col("label").alias("final_line"), "p")
+    routed = A.routed(rows.select("request_id", "service"), model, likely.select("service", "category", F.col("n").alias("weight")), A.route_prior(rows))
+    return routed.select("request_id", "final_line", "p", (F.col("p") >= 0.55).alias("accepted"))
+
+
 @query(f"WITH {TICKETS} SELECT request_id, registration_date, (SELECT count(*) FROM tickets WHERE service = 'HOUSEHOLD') AS total, (SELECT CAST(ceil(count(*) / 20) AS BIGINT) FROM tickets WHERE service = 'HOUSEHOLD') AS total_pages FROM tickets WHERE service = 'HOUSEHOLD' ORDER BY registration_date DESC, request_id LIMIT 20 OFFSET 40")
 def st1_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.filtered(tickets(spark, sf_dir), service="HOUSEHOLD").select("request_id", "registration_date")

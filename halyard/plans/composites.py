@@ -35,6 +35,13 @@ def sc19_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dropped(rows, ["service", "category", "priority"], "random", 0.3, 5, "request_id")
 
 
+@query()
+def sc19_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets under all eleven scenarios."""
+    rows = tickets(spark, sf_dir).select("request_id", F.col("user_name").alias("user"), "service", F.col("category").alias("request_type"), "priority", F.concat_ws(" ", "category", "service").alias("description"))
+    return P.scenarios(rows, "request_id")
+
+
 @query()
 def sc20_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.with_typo(F.col("p_name"), "p_partkey", 3).alias("name"))

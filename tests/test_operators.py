@@ -173,3 +173,33 @@ def test_edit_pairs_are_all_pairs(spark):
         want = {(a, b) for a in names for b in names if a < b and a and 1 - distance(a, b) / max(len(a), len(b)) >= least}
         assert {(r["a"], r["b"]) for r in R.edit_pairs(df, least).collect()} == want
     assert R.edit_pairs(df.limit(0)).count() == 0
+
+
+def test_missing_field_scenarios(spark):
+    from halyard.operators import policies as P
+
+    rows = spark.range(3000).selectExpr("id", *(f"'{f}' AS `{f}`" for f in P.OPTIONAL if f != "timezone"))
+    found = {(r["scenario"], r["id"]): r for r in P.scenarios(rows, "id").collect()}
+    assert len(found) == 11 * 3000 and found == {(r["scenario"], r["id"]): r for r in P.scenarios(rows.repartition(5), "id").collect()}
+    for name, fields in P.REMOVED.items():
+        assert all((r[f] is None) == (f in fields or f == "timezone") for (s, i), r in found.items() if s == name for f in P.OPTIONAL)
+    for name, share in [*P.CHANCE.items(), ("empirical_missingness", 619 / 1931)]:
+        own = [r for (s, _), r in found.items() if s == name]
+        assert abs(sum(r["component"] is None for r in own) / 3000 - share) < 0.04
+        assert name != "empirical_missingness" or all(r["user"] for r in own)
+    assert P.scenarios(rows.limit(0), "id").count() == 0
+
+
+def test_route_of_a_row(spark):
+    from halyard.operators import analytics as A
+
+    history = [("A", "two")] * 18 + [("A", "one")] * 2 + [("B", "one")] * 18 + [("B", "two")] * 2 + [("C", "three")] * 2
+    tickets = spark.createDataFrame([(c, line, "import") for c, line in history] + [("A", "one", "operator-review")] * 50, "category string, final_line string, source_hash string")
+    prior = A.route_prior(tickets)
+    assert {r["category"] for r in prior.collect()} == {"A", "B"}
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none")], "request_id long, service string")
+    model = spark.createDataFrame([(i, line, p) for i in (1, 2, 3) for line, p in (("one", 0.45), ("two", 0.40), ("three", 0.15))], "request_id long, final_line string, p double")
+    likely = spark.createDataFrame([("a", "A", 0.8), ("a", "B", 0.2), ("b", "B", 1.0), ("none", "C", 1.0)], "service string, category string, weight double")
+    got = {r["request_id"]: (r["final_line"], r["p"]) for r in A.routed(rows, model, likely, prior).collect()}
+    two = 0.45 * 0.40 + 0.55 * (0.8 * 19 / 23 + 0.2 * 3 / 23)
+    assert got == {1: ("two", round(two, 4)), 2: ("one", round(0.45 * 0.45 + 0.55 * 19 / 23, 4)), 3: ("one", 0.45)}
