@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import bpe, chat, decontaminate, language, media, ngram, sharding, simhash, substring, warc
+from halyard.llm import bpe, chat, decontaminate, language, media, ngram, quality, sharding, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.turns(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_substring, op4_media, op5_sharding, op6_ngram, op7_decontaminate, op8_warc, op9_language, op10_chat)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance", "reference")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_substring, op4_media, op5_sharding, op6_ngram, op7_decontaminate, op8_warc, op9_language, op10_chat, op11_quality)}
 
 SQL: dict[str, str] = {}
 
