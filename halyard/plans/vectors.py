@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.operators import dense as D
 from halyard.operators import retrieval as R
+from halyard.operators.similarity import greedy_dropped
 from halyard.plans.registry import query
+from halyard.plans.selection import GREEDY
 from halyard.sources.domain import table
 
 V = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), v AS (SELECT vec_id, label, [y / sqrt(list_dot_product(x, x)) FOR y IN x] AS v FROM e)"
@@ -20,6 +23,11 @@ def unit_vectors(spark: SparkSession, sf_dir: str, dims: int | None = None) -> D
     return R.vectors(table(spark, sf_dir, "embeddings"), dims)
 
 
+def neighbours(v: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of every fiftieth row."""
+    return D.top_k(D.build(v), v.where(F.col("vec_id") % R.EVERY == 0), k)
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
 def sc13_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.norm("embedding"), 6).alias("norm"))
@@ -62,7 +70,7 @@ def ml07_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml06_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine neighbours, weighted by their inverse distance."""
     v = unit_vectors(spark, sf_dir)
-    votes = R.best(R.nearest(v), 9).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("query_id", "label").agg(F.sum(1 / F.greatest(1 - F.col("score"), F.lit(1e-6))).alias("w"))
+    votes = neighbours(v, 9).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("query_id", "label").agg(F.sum(1 / F.greatest(1 - F.col("score"), F.lit(1e-6))).alias("w"))
     own = Window.partitionBy("query_id")
     ranked = votes.withColumns({"p": F.round(F.col("w") / F.sum("w").over(own), 6), "r": F.row_number().over(own.orderBy(F.desc("w"), "label"))})
     return ranked.where("r = 1").select("query_id", F.col("label").alias("predicted"), "p")
@@ -71,14 +79,12 @@ def ml06_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(V + " SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 9) >= 0.3")
 def jn15_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one label at a cosine of 0.3 or more."""
-    v = unit_vectors(spark, sf_dir)
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("v").alias("x")), v.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("y"))
-    return a.join(b, "label").where("a < b").withColumn("score", F.round(S.dot("x", "y"), 9)).where("score >= 0.3").select("a", "b", F.round("score", 6).alias("score"))
+    return D.label_pairs(unit_vectors(spark, sf_dir), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query(NEAR + f" SELECT query_id, doc_id, round(score, 6) AS score, {RANK} AS rank FROM near QUALIFY rank <= 5")
 def pl03_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.best(R.nearest(unit_vectors(spark, sf_dir)), 5).withColumn("score", F.round("score", 6))
+    return neighbours(unit_vectors(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
 
 
 TWO = NEAR + ", t AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.x[1:16], d.x[1:16]), 9) AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0), n1 AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM near WINDOW w AS (PARTITION BY query_id)), n2 AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM t WINDOW w AS (PARTITION BY query_id))"
@@ -100,11 +106,11 @@ def pl03_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NEAR + f", g AS (SELECT query_id, doc_id, score, d.label = q.label AS rel FROM near JOIN v d ON d.vec_id = doc_id JOIN v q ON q.vec_id = query_id), c AS (SELECT score, sum(n) OVER (ORDER BY score DESC) AS na, sum(k) OVER (ORDER BY score DESC) AS ka FROM (SELECT round(score, 4) AS score, count(*) AS n, count(*) FILTER (rel) AS k FROM g GROUP BY 1)) SELECT min(score) AS threshold, CAST(max(na) AS BIGINT) AS accepted FROM c WHERE ka >= 0.8 * na")
 def wn09_relevance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from halyard.operators import decision as D
+    from halyard.operators.decision import curve
 
     v = unit_vectors(spark, sf_dir)
     rows = R.nearest(v).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    c = D.curve(rows.withColumn("s", F.round("score", 4)), "s", F.col("label") == F.col("own")).where("k_above >= 0.8 * n_above")
+    c = curve(rows.withColumn("s", F.round("score", 4)), "s", F.col("label") == F.col("own")).where("k_above >= 0.8 * n_above")
     return c.agg(F.min("s").alias("threshold"), F.max("n_above").alias("accepted"))
 
 
@@ -117,24 +123,9 @@ def pl17_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(V.replace("WITH e", "WITH RECURSIVE e") + ", links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 9) >= 0.6), " + GREEDY + " SELECT vec_id, label, vec_id NOT IN (SELECT id FROM dropped) AS kept FROM embeddings")
 def wn16_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a label, by id, that are not within a cosine of 0.6 of a row kept before.
-
-    A greedy pass depends on its own earlier choices, so a label runs in one task; labels run apart.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        kept: list[np.ndarray] = []
-        flags = []
-        for v in pdf["v"]:
-            fresh = not kept or float(np.max(np.stack(kept) @ v)) < 0.6
-            flags.append(fresh)
-            if fresh:
-                kept.append(np.asarray(v))
-        return pdf.assign(kept=flags)[["vec_id", "label", "kept"]]
-
-    return unit_vectors(spark, sf_dir).groupBy("label").applyInPandas(keep, "vec_id long, label int, kept boolean")
+    """Rows of a label, by id, that are not within a cosine of 0.6 of a row kept before."""
+    v = unit_vectors(spark, sf_dir)
+    dropped = greedy_dropped(D.label_pairs(v, 0.6)).select(F.col("id").alias("vec_id"), F.lit(False).alias("k"))
+    return v.join(dropped, "vec_id", "left").select("vec_id", "label", F.coalesce("k", F.lit(True)).alias("kept"))
