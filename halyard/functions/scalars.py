@@ -145,5 +145,6 @@ def edit_ratio(a: Cols, b: Cols) -> Column:
 
 
 def uniform(*parts: Cols, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the parts and the seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *(col(p) for p in parts)), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) that depends on the parts and the seed alone: the first 32 bits of SHA-256; null parts are empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(col(p).cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long") / float(1 << 32)

@@ -154,3 +154,53 @@ def routed(rows: DataFrame, model: DataFrame, likely: DataFrame, prior: DataFram
     ways = lines.groupBy("request_id").agg(F.sum("p").alias("total"), F.collect_list(F.struct("p", "final_line")).alias("ways"))  # one entry a line
     best = F.sort_array(F.transform("ways", lambda w: F.struct((-F.round(w["p"] / F.col("total"), 4)).alias("p"), w["final_line"].alias("final_line"))))[0]
     return ways.select("request_id", best["final_line"].alias("final_line"), (-best["p"]).alias("p"))
+
+
+def category_evidence(rows: DataFrame, facets: list[str], k: int, confirmed: str = "operator-review") -> DataFrame:
+    """``request_id, mode, category, weight``: the k likeliest categories of each ticket by its own facets, or its confirmed category alone.
+
+    The share of a category is the product of its counts with each facet, each one more, over the power of its own count; counts
+    are by category and facet, and shares are worked out once for each combination of facets. Rows with
+    ``source_hash`` equal to ``confirmed`` have a confirmed category of weight one.
+    """
+    own = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.select(*facets).distinct().join(own)
+    w = F.lit(1.0)
+    for f in facets:
+        cells = cells.join(rows.groupBy(f, "category").agg(F.count(F.lit(1)).alias(f"n_{f}")), [f, "category"], "left")
+        w = w * (F.coalesce(f"n_{f}", F.lit(0)) + 1)
+    cells = cells.select(*facets, "category", F.round(w / F.pow("n", F.lit(len(facets) - 1)), 9).alias("w"))
+    cell = Window.partitionBy(*facets)
+    top = cells.select(*facets, "category", (F.col("w") / F.sum("w").over(cell)).alias("weight"), F.row_number().over(cell.orderBy(F.desc("w"), "category")).alias("i")).where(F.col("i") <= k)
+    likely = top.groupBy(*facets).agg(F.collect_list(F.struct("category", "weight")).alias("likely"))
+    sure = F.col("source_hash") == confirmed
+    found = F.when(sure, F.array(F.struct("category", F.lit(1.0).alias("weight")))).otherwise(F.col("likely"))
+    joined = rows.join(likely, facets, "left").select("request_id", F.when(sure, "confirmed_category").otherwise("category_topk").alias("mode"), F.explode(found).alias("x"))
+    return joined.select("request_id", "mode", "x.category", "x.weight")
+
+
+def routed_by_evidence(model: DataFrame, likely: DataFrame, prior: DataFrame, share: float = 0.45, least: float = 0.55) -> DataFrame:
+    """``request_id, mode, rank, final_line, p, accepted``: all lines of each row, the likeliest first.
+
+    ``model`` has ``request_id, final_line, p``, ``likely`` the row's weighted categories. Their priors are mixed by weight; a row none of
+    whose categories has a prior is left to the model. Ties go to the line that sorts first.
+    """
+    mixed = likely.join(prior, "category").groupBy("request_id", "final_line").agg((F.sum(F.col("weight") * F.col("prior")) / F.sum("weight")).alias("prior"))
+    modes = likely.groupBy("request_id").agg(F.first("mode").alias("mode"))
+    p = F.when(F.col("prior").isNull(), F.col("p")).otherwise(share * F.col("p") + (1 - share) * F.col("prior"))
+    rows = model.join(modes, "request_id").join(mixed, ["request_id", "final_line"], "left").select("request_id", "mode", "final_line", p.alias("p"))
+    own = Window.partitionBy("request_id")
+    scored = rows.withColumn("p", F.round(F.col("p") / F.sum("p").over(own), 4))
+    return scored.select("request_id", "mode", F.row_number().over(own.orderBy(F.desc("p"), "final_line")).cast("long").alias("rank"), "final_line", "p", (F.max("p").over(own) >= least).alias("accepted"))
+
+
+def run_gate(log: DataFrame, run: str, candidate: str) -> DataFrame:
+    """Each run's candidates by state (``completed``, ``skipped``, ``failed``, else open), and whether the run is complete.
+
+    Complete: no candidate failed, none is both completed and skipped, and all are one of these.
+    """
+    is_ = lambda s: F.coalesce(F.bool_or(F.col("state") == s), F.lit(False))
+    by = log.groupBy(run, candidate).agg(is_("completed").alias("c"), is_("skipped").alias("s"), is_("failed").alias("f"))
+    counts = by.groupBy(run).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("c").alias("completed"), F.count_if("s").alias("skipped"), F.count_if("f").alias("failed"), F.count_if(F.col("c") & F.col("s")).alias("overlapping"))
+    whole = (F.col("failed") == 0) & (F.col("overlapping") == 0) & (F.col("completed") + F.col("skipped") == F.col("candidates"))
+    return counts.withColumn("complete", whole)

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.functions import scalars as S
+
 
 def ranked(p: DataFrame, *keys: str) -> DataFrame:
     own = Window.partitionBy(*(keys or ("row_id",))).orderBy(F.desc("p"), "label")
@@ -184,3 +186,24 @@ def swapped(d: DataFrame, pairs: DataFrame, other: DataFrame) -> DataFrame:
     rows = d.withColumn("pair", key).join(F.broadcast(pairs.select("pair", F.lit(True).alias("known"))), "pair", "left").join(other, "row_id")
     take = F.coalesce("known", F.lit(False)) & (F.col("other") == F.col("second"))
     return rows.select("row_id", "truth", F.when(take, F.col("second")).otherwise(F.col("predicted")).alias("predicted"), take.alias("swapped"))
+
+
+def clustered_bootstrap(rows: DataFrame, replicates: int, seed: int, weight_of) -> DataFrame:
+    """``metric, mean, low, high, better``: how ``other`` differs from ``predicted`` in accuracy and macro F1 (``cluster, truth, predicted, other``).
+
+    A replicate weighs each cluster by ``weight_of`` a hash of cluster and replicate. Counts by cluster and label come first, so a
+    cluster of any size is one row a label, and replicates are drawn over clusters. A label that is neither
+    a truth nor a guess in a replicate is no part of its mean.
+    """
+    part = lambda label, n=0, ka=0, ga=0, kb=0, gb=0: F.struct(F.col(label).alias("label"), *(F.lit(v).cast("long").alias(k) for k, v in (("n", n), ("ka", ka), ("ga", ga), ("kb", kb), ("gb", gb))))
+    right = lambda c: (F.col("truth") == F.col(c)).cast("long")
+    of_truth = F.struct(F.col("truth").alias("label"), F.lit(1).cast("long").alias("n"), right("predicted").alias("ka"), F.lit(0).cast("long").alias("ga"), right("other").alias("kb"), F.lit(0).cast("long").alias("gb"))
+    parts = rows.select("cluster", F.explode(F.array(of_truth, part("predicted", ga=1), part("other", gb=1))).alias("x")).select("cluster", "x.*")
+    names = ("n", "ka", "ga", "kb", "gb")
+    counts = parts.groupBy("cluster", "label").agg(*(F.sum(c).alias(c) for c in names))
+    drawn = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight_of(S.uniform("cluster", "replicate", seed=seed)))
+    sums = drawn.groupBy("replicate", "label").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
+    f1 = lambda k, g: F.avg(2 * F.col(k) / F.nullif(F.col("n") + F.col(g), F.lit(0)))
+    deltas = sums.groupBy("replicate").agg((F.sum(F.col("kb") - F.col("ka")) / F.sum("n")).alias("accuracy"), (f1("kb", "gb") - f1("ka", "ga")).alias("macro_f1"))
+    long = deltas.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("accuracy", "macro_f1")))).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("v") > 0).cast("int")), 6).alias("better"))

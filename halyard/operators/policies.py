@@ -61,7 +61,7 @@ CHANCE = {"random_dropout_10": 0.1, "random_dropout_30": 0.3, "random_dropout_50
 EMPIRICAL = ("empirical_missingness", {"component": 619 / 1931})
 
 
-def scenarios(rows: DataFrame, key: str, seed: int = 20260917) -> DataFrame:
+def scenarios(rows: DataFrame, key: str, seed: int = 31) -> DataFrame:
     """Each row under each of eleven scenarios of missing fields, in one pass; absent fields are added as null.
 
     Chance depends on seed, scenario, key and field alone, so a run repeats and no row affects another.

@@ -29,20 +29,39 @@ def pl07_unknown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("row_id", P.review_reason(F.col("confidence"), F.col("margin"), 0.45, 0.1).alias("reason"), P.gated(F.col("predicted"), F.col("confidence"), 0.45).alias("label"))
 
 
-@query()
+def chance(*parts: str) -> str:
+    """SQL of ``scalars.uniform``; the first part is the seed."""
+    return f"(CAST(('0x' || substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def left(field: str, column: str) -> str:
+    """SQL of a field under all scenarios."""
+    gone = ", ".join(f"'{name}'" for name, fields in P.REMOVED.items() if field in fields) or "''"
+    rates = " ".join(f"WHEN '{name}' THEN {share}" for name, share in P.CHANCE.items())
+    name, shares = P.EMPIRICAL
+    rate = f"CASE scenario {rates} WHEN '{name}' THEN {shares.get(field, 0.0)} ELSE 0.0 END"
+    return f"CASE WHEN scenario NOT IN ({gone}) AND {chance("'31'", 'scenario', 'request_id', f"'{field}'")} >= {rate} THEN {column} END AS \"{field}\""
+
+
+SCENARIO_FIELDS = {"user": "user_name", "service": "service", "request_type": "category", "priority": "priority", "description": "category || ' ' || service"}
+SCENARIOS = ", ".join(left(f, SCENARIO_FIELDS[f]) if f in SCENARIO_FIELDS else f"CAST(NULL AS VARCHAR) AS {f}" for f in P.OPTIONAL)
+NAMES = ", ".join(f"'{n}'" for n in (*P.REMOVED, *P.CHANCE, P.EMPIRICAL[0]))
+
+
+@query(f"WITH {TICKETS} SELECT request_id, {', '.join(f"CASE WHEN {chance("'5'", "'random'", 'request_id', f"'{f}'")} >= 0.3 THEN {f} END AS {f}" for f in ('service', 'category', 'priority'))} FROM tickets")
 def sc19_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tickets(spark, sf_dir).select("request_id", "service", "category", "priority")
     return P.dropped(rows, ["service", "category", "priority"], "random", 0.3, 5, "request_id")
 
 
-@query()
+@query(f"WITH {TICKETS} SELECT request_id, scenario, {SCENARIOS} FROM tickets, (SELECT unnest([{NAMES}]) AS scenario)")
 def sc19_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets under all eleven scenarios."""
     rows = tickets(spark, sf_dir).select("request_id", F.col("user_name").alias("user"), "service", F.col("category").alias("request_type"), "priority", F.concat_ws(" ", "category", "service").alias("description"))
     return P.scenarios(rows, "request_id")
 
 
-@query()
+@query(f"WITH p AS (SELECT p_partkey, p_name AS t, CAST(floor({chance("'3'", 'p_partkey')} * (length(p_name) - 3)) AS INT) + 2 AS i FROM part) SELECT p_partkey, CASE WHEN length(t) < 4 THEN t ELSE substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) END AS name FROM p")
 def sc20_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.with_typo(F.col("p_name"), "p_partkey", 3).alias("name"))
 

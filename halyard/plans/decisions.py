@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.operators import decision as D
@@ -258,7 +258,21 @@ def ex07_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Cumulative shares of a Poisson count of mean one, for 0 to 4; the rest counts as 5.
+CUTS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
+POISSON = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(CUTS)) + " ELSE 5 END"
+
+
+def poisson(u: Column) -> Column:
+    weight = F.lit(len(CUTS))
+    for k in range(len(CUTS) - 1, -1, -1):
+        weight = F.when(u < CUTS[k], k).otherwise(weight)
+    return weight
+
+
+@query(TWO + f""", x AS (SELECT row_id, CAST(guess = truth AS INT) - CAST(predicted = truth AS INT) AS gain, replicate FROM d JOIN o USING (row_id), (SELECT unnest(range(1, 51)) AS replicate)),
+u AS (SELECT *, CAST(('0x' || substr(sha256(concat_ws('|', '17', row_id, replicate)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM x), m AS (SELECT replicate, sum({POISSON} * gain) / sum({POISSON}) AS m FROM u GROUP BY 1)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def pl15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paired bootstrap of the accuracy difference of two models, by Poisson weights from a hash of row and replicate."""
     from halyard.functions.scalars import uniform
@@ -266,10 +280,23 @@ def pl15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decided(spark, sf_dir).join(second_model(spark, sf_dir), "row_id")
     gain = (F.col("other") == F.col("truth")).cast("int") - (F.col("predicted") == F.col("truth")).cast("int")
     spread = rows.select("row_id", gain.alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("replicate"))
-    u = uniform("row_id", "replicate", seed=17)
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
-    weight = F.lit(5)
-    for k in range(4, -1, -1):
-        weight = F.when(u < cuts[k], k).otherwise(weight)
-    means = spread.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
+    means = spread.withColumn("w", poisson(uniform("row_id", "replicate", seed=17))).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+
+
+#: A cluster's own counts are small, so they are added up before replicates are drawn, and a replicate weighs whole clusters.
+CLUSTERED = TWO + f""", x AS (SELECT o_custkey AS cluster, d.truth, predicted, guess FROM d JOIN o USING (row_id) JOIN orders ON o_orderkey = row_id),
+c AS (SELECT cluster, label, count(*) FILTER (truth = label) AS n, count(*) FILTER (truth = label AND predicted = label) AS ka, count(*) FILTER (predicted = label) AS ga, count(*) FILTER (truth = label AND guess = label) AS kb, count(*) FILTER (guess = label) AS gb
+  FROM x, (SELECT unnest(['F', 'O', 'P']) AS label) GROUP BY ALL),
+u AS (SELECT cluster, replicate, CAST(('0x' || substr(sha256(concat_ws('|', '23', cluster, replicate)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM (SELECT DISTINCT cluster FROM c), (SELECT unnest(range(1, 41)) AS replicate)),
+s AS (SELECT replicate, label, sum({POISSON} * n) AS n, sum({POISSON} * ka) AS ka, sum({POISSON} * ga) AS ga, sum({POISSON} * kb) AS kb, sum({POISSON} * gb) AS gb FROM c JOIN u USING (cluster) GROUP BY ALL),
+f AS (SELECT replicate, sum(kb - ka) / sum(n) AS accuracy, avg(2 * kb / nullif(n + gb, 0)) - avg(2 * ka / nullif(n + ga, 0)) AS f1 FROM s GROUP BY 1)"""
+CLUSTER_REPORT = " SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(avg(CAST(v > 0 AS INT)), 6) AS better FROM (SELECT 'accuracy' AS metric, accuracy AS v FROM f UNION ALL SELECT 'macro_f1', f1 FROM f) GROUP BY 1"
+
+
+@query(CLUSTERED + CLUSTER_REPORT)
+def pl15_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two models in accuracy and macro F1 under a bootstrap of customers, whose rows stay together."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("cluster"))
+    rows = decided(spark, sf_dir).join(second_model(spark, sf_dir), "row_id").join(own, "row_id")
+    return D.clustered_bootstrap(rows.select("cluster", "truth", "predicted", F.col("other")), 40, 23, poisson)

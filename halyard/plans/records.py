@@ -58,13 +58,19 @@ def dml5_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.revisions(rows, edits, "request_id", FIELDS).select("request_id", F.array_join("changed_fields", ",").alias("changed"))
 
 
-@query()
+@query("""WITH RECURSIVE log AS MATERIALIZED (SELECT user_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'uploaded' AS state, FALSE AS category, FALSE AS route, 0::INT AS n_applied FROM log UNION ALL
+ SELECT w.user_id, l.i, CASE WHEN state <> 'saved' AND k = 'view' THEN 'waiting_review' WHEN state <> 'saved' AND k = 'error' THEN 'failed' WHEN k = 'signup' AND state = 'waiting_review' AND category AND route THEN 'saved' ELSE state END,
+  CASE WHEN state <> 'saved' AND k = 'view' THEN FALSE WHEN k = 'click' AND state = 'waiting_review' THEN TRUE ELSE category END,
+  CASE WHEN state <> 'saved' AND k = 'view' THEN FALSE WHEN k = 'click' AND state = 'waiting_review' THEN FALSE WHEN k = 'purchase' AND state = 'waiting_review' AND category THEN TRUE ELSE route END,
+  n_applied + CAST((state <> 'saved' AND k IN ('view', 'error')) OR (state = 'waiting_review' AND (k = 'click' OR (k = 'purchase' AND category) OR (k = 'signup' AND category AND route))) AS INT) FROM walk w JOIN log l ON l.user_id = w.user_id AND l.i = w.i + 1)
+SELECT user_id, state, category, route, n_applied FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def dml6_staged_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.create_map(*(F.lit(x) for p in {"view": "analysis", "error": "error", "click": "category_confirmed", "purchase": "route_confirmed", "signup": "saved"}.items() for x in p)), F.col("event_type"))
     return R.folded(table(spark, sf_dir, "events").withColumn("kind", kinds), "user_id", "kind", "ts", "event_id")
 
 
-@query()
+@query("""SELECT event_id, event_type AS kind, '{"user_id":' || user_id || ',"value":' || value || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '"}' AS snapshot FROM events""")
 def dml7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.to_json(F.struct("user_id", "value", "ts")).alias("snapshot"))
 
