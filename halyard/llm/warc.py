@@ -15,7 +15,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -30,6 +31,10 @@ from halyard.session import cut, shared_path
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
 PIECE = 1 << 20
+#: Bytes of a record that are kept so that they can be read again when it fails, of a member's records that are held until
+#: its end is known, and of an HTTP header.
+REPLAY, HOLD, HTTP_HEADER = 8 << 20, 64 << 20, 1 << 20
+HEADER_END = re.compile(rb"\r?\n\r?\n")
 DATE = "2024-01-01T00:00:00Z"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,24 +66,52 @@ class Content:
     """Bytes that are pulled in pieces: a stretch of a file, or what a gzip member holds."""
 
     def __init__(self, pull: Callable[[], bytes]):
-        self.pull, self.held, self.ended, self.at = pull, b"", False, 0
+        self.pull, self.ended, self.at = pull, False, 0
+        self.buffer, self.pos = b"", 0
+        self.marked: int | None = None
+
+    @property
+    def ahead(self) -> int:
+        return len(self.buffer) - self.pos
 
     def need(self, n: int) -> bool:
         """Hold so many bytes ahead; whether there are as many."""
-        parts, total = [self.held], len(self.held)
-        while total < n and not self.ended:
-            parts.append(self.pull())
-            total += len(parts[-1])
-            self.ended = not parts[-1]
-        self.held = b"".join(parts) if len(parts) > 1 else self.held
-        return len(self.held) >= n
+        if self.ahead < n and not self.ended:
+            if self.marked is not None and self.pos - self.marked > REPLAY:
+                self.marked = None
+            start = self.pos if self.marked is None else self.marked
+            parts, total = [self.buffer[start:]], self.ahead
+            while total < n and not self.ended:
+                parts.append(self.pull())
+                total += len(parts[-1])
+                self.ended = not parts[-1]
+            self.buffer, self.pos = b"".join(parts), self.pos - start
+            self.marked = None if self.marked is None else 0
+        return self.ahead >= n
 
     def take(self, n: int) -> bytes:
         self.need(n)
-        out, self.held = self.held[:n], self.held[n:]
+        out = self.buffer[self.pos : self.pos + n]
+        self.pos += len(out)
         self.at += len(out)
         return out
 
+    def find(self, what: bytes, start: int = 0) -> int:
+        """Where it stands in the bytes held ahead, from ``start`` on; -1 if nowhere."""
+        return max(self.buffer.find(what, self.pos + start) - self.pos, -1)
+
+    def mark(self) -> None:
+        """Keep what is taken from here on, as long as it has no more than ``REPLAY`` bytes."""
+        self.marked = self.pos
+
+    def rewind(self) -> bool:
+        """Go back to the mark; False if that is too far."""
+        if self.marked is None:
+            return False
+        self.at -= self.pos - self.marked
+        self.pos, self.marked = self.marked, None
+        return True
+
 
 def plain(source: Ranges, offset: int) -> Content:
     """The bytes of a file from an offset on."""
@@ -97,7 +130,12 @@ class Member:
     """A gzip member, decompressed piece by piece; ``length`` is its compressed length once it is read."""
 
     def __init__(self, source: Ranges, offset: int):
-        self.source, self.offset, self.at = source, offset, offset
+        self.source, self.offset = source, offset
+        self.reopen()
+
+    def reopen(self) -> None:
+        """Start again at the first byte of the content."""
+        self.at = self.offset
         self.unzip, self.fed = zlib.decompressobj(31), b""
         self.failure: str | None = None
         self.content = Content(self.pull)
@@ -128,15 +166,15 @@ class Member:
 def header_of(content: Content) -> dict[str, str]:
     """The header of the record that comes next: the version line, then lines of any number and length."""
     content.need(len(VERSION))
-    if not content.held.startswith(VERSION):
+    if not content.buffer.startswith(VERSION, content.pos):
         raise Damaged("no version line")
     header: dict[str, str] = {}
     last, first = None, True
     while True:
         seen = 0
-        while (end := content.held.find(b"\r\n", seen)) < 0:
-            seen = max(0, len(content.held) - 1)
-            if not content.need(len(content.held) + 1):
+        while (end := content.find(b"\r\n", seen)) < 0:
+            seen = max(0, content.ahead - 1)
+            if not content.need(content.ahead + 1):
                 raise Damaged("header without end")
         line = content.take(end + 2)[:-2]
         if first:
@@ -178,7 +216,8 @@ def record_of(content: Content, keep: int | None = None, ends_at=None) -> tuple[
     Facts: ``size`` and ``digest`` of the payload, the payload itself if it has no more than ``keep``
     bytes (None: always), ``checked`` if the block had a digest that holds, ``http_length``. The block is
     read piece by piece, so a record of any length takes no more memory than what is kept of it. The
-    payload is what follows the HTTP header if the record has one, or else the whole block.
+    payload is what follows the HTTP header, whatever its line ends, or else the whole block: also where the
+    type says HTTP but no header ends within ``HTTP_HEADER`` bytes.
     """
     header = header_of(content)
     length = header.get("content-length", "")
@@ -200,10 +239,13 @@ def record_of(content: Content, keep: int | None = None, ends_at=None) -> tuple[
         if not inside:
             seen = max(0, len(before) - 3)
             before += piece
-            end = before.find(b"\r\n\r\n", seen)
-            if end < 0:
+            end = HEADER_END.search(before, seen)
+            if end:
+                before, piece, inside = before[: end.start()], bytes(before[end.end() :]), True
+            elif left and len(before) <= HTTP_HEADER:
                 continue
-            before, piece, inside = before[:end], bytes(before[end + 4 :]), True
+            else:
+                before, piece, inside = bytearray(), bytes(before), True
         size += len(piece)
         payload.update(piece)
         if keep is None or size <= keep:
@@ -231,14 +273,13 @@ def salvage(source: Ranges, keep: int | None = None) -> Iterator[tuple]:
 
     while at < source.size:
         start = source.read(at, 8)
-        found: list[tuple] = []
+        found: Iterable[tuple] = ()
         try:
             if start.startswith(GZIP):
-                member = Member(source, at)
-                found = list(member_records(member, keep))
+                found, member = records_of(source, at, keep)
                 if member.failure is not None:
                     raise Damaged(member.failure)
-                if not any(kind == "record" for kind, *_ in found):
+                if isinstance(found, list) and not any(kind == "record" for kind, *_ in found):
                     raise Damaged(found[0][1] if found else "empty member")
                 length = member.length
             elif start.startswith(VERSION):
@@ -265,44 +306,61 @@ def salvage(source: Ranges, keep: int | None = None) -> Iterator[tuple]:
         yield "gap", lost, source.size - lost, reason, None
 
 
+def records_of(source: Ranges, at: int, keep: int | None) -> tuple[Iterable[tuple], Member]:
+    """What a member holds, and the member read to its end, which tells its length and whether it breaks off.
+
+    Records are held until that is known, ``HOLD`` bytes at most; of a larger member nothing is held, it is
+    read once for its end and then again, record by record.
+    """
+    member, found, size = Member(source, at), [], 0
+    for item in member_records(member, keep):
+        found.append(item)
+        size += 500 + len((item[2] or {}).get("payload") or b"")
+        if size > HOLD:
+            whole = Member(source, at)
+            deque(member_records(whole, 0), maxlen=0)
+            return member_records(Member(source, at), keep), whole
+    return found, member
+
+
 def member_records(member: Member, keep: int | None) -> Iterator[tuple]:
-    """("record", header, facts) and ("gap", reason, None) inside a member; a gap ends where a whole record follows."""
-    content = member.content
-    while content.need(1):
-        held = content.at
+    """("record", header, facts) and ("gap", reason, None) inside a member; a gap ends where a whole record follows.
+
+    A failed record is given back and searched from its second byte on; only one that took more than ``REPLAY`` bytes makes
+    the member be decompressed again up to there.
+    """
+    while member.content.need(1):
+        content, start = member.content, member.content.at
+        content.mark()
         try:
             header, facts = record_of(content, keep)
         except Damaged as e:
             if member.failure is not None:
                 return
-            # what the failed record has taken is gone: read the member again, from the next version line on
-            again = Member(member.source, member.offset)
-            while again.content.at < held:
-                again.content.take(min(PIECE, held - again.content.at))
-            skipped = resume(again)
-            if not skipped:
-                member.at, member.unzip, member.failure = again.at, again.unzip, again.failure
-                yield "gap", f"{e}, at byte {held} of the member's content", None
+            if not content.rewind():
+                member.reopen()
+                content = member.content
+                while content.at < start:
+                    content.take(min(PIECE, start - content.at))
+            more = resume(content)
+            yield "gap", f"{e}, at {f'bytes {start} to {content.at}' if more else f'byte {start}'} of the member's content", None
+            if not more:
                 return
-            yield "gap", f"{e}, at bytes {held} to {again.content.at} of the member's content", None
-            yield from member_records(again, keep)
-            member.at, member.unzip, member.failure = again.at, again.unzip, again.failure
-            return
-        yield "record", header, facts
+        else:
+            yield "record", header, facts
 
 
-def resume(member: Member) -> bool:
+def resume(content: Content) -> bool:
     """Move on to the next version line; False at the end of the content."""
-    content = member.content
     content.take(1)
     while True:
-        found = content.held.find(VERSION)
+        found = content.find(VERSION)
         if found >= 0:
             content.take(found)
             return True
-        content.take(max(0, len(content.held) - len(VERSION) + 1))
-        if not content.need(len(content.held) + 1):
-            content.take(len(content.held))
+        content.take(max(0, content.ahead - len(VERSION) + 1))
+        if not content.need(content.ahead + 1):
+            content.take(content.ahead)
             return False
 
 

@@ -208,3 +208,56 @@ def test_png_filters(kind):
             paeth = a if pa <= pb and pa <= pc else b if pb <= pc else c
             rows[y, x + 1] = (image[y, x] - [0, a, b, (a + b) // 2, paeth][kind]) % 256
     assert (M.unfiltered(rows) == image).all()
+
+
+def test_many_gaps_in_a_member_take_linear_time(tmp_path):
+    import time
+
+    parts = [W.record(i, None, b"payload %d" % i, "0", None, False) for i in range(8000)]
+    took = []
+    for n in (1000, 4000):
+        bad = [p if i % 2 else p.replace(b"\r\n\r\npayload", b"\r\n\r\npaYload") for i, p in enumerate(parts[: 2 * n])]
+        start = time.process_time()
+        got = salvaged(tmp_path, gzip.compress(b"".join(bad), mtime=0))
+        took.append(time.process_time() - start)
+        assert [int(r[3]["x-page-id"]) for r in got if r[0] == "record"] == list(range(1, 2 * n, 2))
+        assert [r[0] for r in got].count("gap") == n
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_a_failed_record_that_was_too_long_to_keep(tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "REPLAY", 3000)
+    monkeypatch.setattr(W, "PIECE", 512)
+    parts = archive(n=12, plain=True)
+    big = W.record(50, None, b"x" * 40_000, "0", None, False).replace(b"xxx\r\n\r\n", b"xxy\r\n\r\n")
+    got = salvaged(tmp_path, gzip.compress(b"".join([*parts[:5], big, *parts[5:], big]), mtime=0))
+    assert [int(r[3]["x-page-id"]) for r in got if r[0] == "record"] == list(range(12)) and [r[0] for r in got].count("gap") == 2
+
+
+def test_large_members_are_streamed(tmp_path, monkeypatch):
+    parts = archive(n=30, plain=True)
+    data = gzip.compress(b"".join(parts), mtime=0)
+    held = salvaged(tmp_path, data)
+    cut_off = salvaged(tmp_path, data[: len(data) // 2])
+    monkeypatch.setattr(W, "HOLD", 2000)
+    assert salvaged(tmp_path, data) == held and len(held) == 30
+    assert salvaged(tmp_path, data[: len(data) // 2]) == cut_off
+
+
+def test_http_headers_of_any_line_ends(tmp_path):
+    http = {"Content-Type": "application/http; msgtype=response"}
+
+    def block(body):
+        head = "".join(f"{k}: {v}\r\n" for k, v in {**http, "Content-Length": len(body)}.items())
+        return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    bodies = [b"HTTP/1.1 200 OK\nContent-Length: 4\n\nbody", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody", b"no header at all", b"", b"HTTP/1.1 200 OK\r\nA: b\r\n", b"z" * (3 << 20)]
+    got = salvaged(tmp_path, b"".join(map(block, bodies)))
+    assert [r[4]["payload"] for r in got] == [b"body", b"body", bodies[2], b"", bodies[4], bodies[5]]
+    assert [r[4]["size"] for r in got] == [4, 4, len(bodies[2]), 0, len(bodies[4]), 3 << 20] and got[0][4]["http_length"] == 4
+
+
+def test_member_names_that_are_no_ids(spark):
+    rows = [(name, b"", "unread") for name in ("12.png", "-3.png", "².png", "1²3.png", "١٢.png", "x.png", ".png", None, "9" * 30 + ".png")]
+    got = M.features(spark.createDataFrame(rows, "name string, media binary, error string")).collect()
+    assert [r.doc_id for r in got] == [12, -3, None, None, None, None, None, None, None] and all(r.error == "unread" for r in got)
