@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import tarfile
 import zlib
@@ -254,6 +255,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("media_archives").load(folder)
 
 
+#: Names that tell an id: a long in decimal ASCII digits. Other names have none.
+ID_NAME = re.compile(r"-?[0-9]{1,18}\..{3}", re.ASCII)
+
+
 def features(media: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error``.
 
@@ -262,7 +267,7 @@ def features(media: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
 
     def digest(name: str | None, media: bytes | None, error: str | None) -> tuple:
-        doc_id = int(name[:-4]) if name and name[:-4].lstrip("-").isdigit() else None
+        doc_id = int(name[:-4]) if name and ID_NAME.fullmatch(name) else None
         if error is None:
             try:
                 payload, stated = samples(media)

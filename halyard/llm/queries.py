@@ -27,7 +27,8 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.round_trip(table(spark, sf_dir, "documents"))
+    whole = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unread member: "), "error")).cast("boolean"))
+    return media.round_trip(table(spark, sf_dir, "documents")).where(whole)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
