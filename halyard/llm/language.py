@@ -225,12 +225,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: str = V
     """Languages in order, and the pieces x languages matrix of probabilities.
 
     ``labelled`` has ``doc_id, text, lang``; rows with a null text or lang are left out, those with a null
-    id are not. Other columns are not read; without rows there is no language.
+    id are not. The ``MOST_LANGUAGES`` values of ``lang`` with most rows are learned, ties by the name; rarer ones
+    are never predicted. Other columns are not read; without rows there is no language.
     """
     rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counted) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     langs = sorted(r["lang"] for r in counted)
     if not langs:
         return [], np.zeros((0, 0))

@@ -159,3 +159,12 @@ def test_rare_languages_keep_their_rows(spark):
     lattice = L.Lattice(L.pieces())
     scores = lattice.forward(["▁wasser", "▁house"], p)
     assert langs == ["aa", "bb"] and scores[0].argmax() == 1 and scores[1].argmax() == 0
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    rows = [(i, "the and of water house", "en") for i in range(30)] + [(100 + i, "der die und wasser haus", "de") for i in range(20)] + [(200 + i, "la casa el agua que", "es") for i in range(10)] + [(300 + i, "quux", f"x{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model[0] == ["de", "en", "es"]
+    assert L.predict(docs, model).count() == len(rows)
