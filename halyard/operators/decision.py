@@ -188,10 +188,22 @@ def swapped(d: DataFrame, pairs: DataFrame, other: DataFrame) -> DataFrame:
     return rows.select("row_id", "truth", F.when(take, F.col("second")).otherwise(F.col("predicted")).alias("predicted"), take.alias("swapped"))
 
 
-def clustered_bootstrap(rows: DataFrame, replicates: int, seed: int, weight_of) -> DataFrame:
+#: Cumulative shares of a Poisson count of mean one, for 0 to 4; the rest counts as 5.
+POISSON_CUTS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson count of mean one from a uniform number."""
+    weight = F.lit(len(POISSON_CUTS))
+    for k in range(len(POISSON_CUTS) - 1, -1, -1):
+        weight = F.when(u < POISSON_CUTS[k], k).otherwise(weight)
+    return weight
+
+
+def clustered_bootstrap(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``metric, mean, low, high, better``: how ``other`` differs from ``predicted`` in accuracy and macro F1 (``cluster, truth, predicted, other``).
 
-    A replicate weighs each cluster by ``weight_of`` a hash of cluster and replicate. Counts by cluster and label come first, so a
+    A replicate weighs each cluster by a Poisson count from a hash of cluster and replicate. Counts by cluster and label come first, so a
     cluster of any size is one row a label, and replicates are drawn over clusters. A label that is neither
     a truth nor a guess in a replicate is no part of its mean.
     """
@@ -201,9 +213,26 @@ def clustered_bootstrap(rows: DataFrame, replicates: int, seed: int, weight_of)
     parts = rows.select("cluster", F.explode(F.array(of_truth, part("predicted", ga=1), part("other", gb=1))).alias("x")).select("cluster", "x.*")
     names = ("n", "ka", "ga", "kb", "gb")
     counts = parts.groupBy("cluster", "label").agg(*(F.sum(c).alias(c) for c in names))
-    drawn = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight_of(S.uniform("cluster", "replicate", seed=seed)))
+    drawn = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", poisson(S.uniform("cluster", "replicate", seed=seed)))
     sums = drawn.groupBy("replicate", "label").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
     f1 = lambda k, g: F.avg(2 * F.col(k) / F.nullif(F.col("n") + F.col(g), F.lit(0)))
     deltas = sums.groupBy("replicate").agg((F.sum(F.col("kb") - F.col("ka")) / F.sum("n")).alias("accuracy"), (f1("kb", "gb") - f1("ka", "ga")).alias("macro_f1"))
     long = deltas.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("accuracy", "macro_f1")))).alias("x")).select("x.*")
     return long.groupBy("metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("v") > 0).cast("int")), 6).alias("better"))
+
+
+def front(candidates: DataFrame, metrics: list[str], baseline: Column) -> DataFrame:
+    """``candidates`` with ``better``, no worse than the baseline in all metrics and better in one, and ``front``, dominated by none.
+
+    Candidates are a short list of finished runs: all of them travel as one array.
+    """
+    every = candidates.agg(F.collect_list(F.struct(*metrics)).alias("every"), F.max(F.when(baseline, F.struct(*metrics))).alias("base"))
+
+    def beats(a, b) -> Column:
+        no_worse, more = F.lit(True), F.lit(False)
+        for m in metrics:
+            no_worse, more = no_worse & (a[m] >= b[m]), more | (a[m] > b[m])
+        return no_worse & more
+
+    own = F.struct(*metrics)
+    return candidates.join(F.broadcast(every)).select(*candidates.columns, beats(own, F.col("base")).alias("better"), (~F.exists("every", lambda o: beats(o, own))).alias("front"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.operators import decision as D
@@ -258,16 +258,7 @@ def ex07_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Cumulative shares of a Poisson count of mean one, for 0 to 4; the rest counts as 5.
-CUTS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
-POISSON = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(CUTS)) + " ELSE 5 END"
-
-
-def poisson(u: Column) -> Column:
-    weight = F.lit(len(CUTS))
-    for k in range(len(CUTS) - 1, -1, -1):
-        weight = F.when(u < CUTS[k], k).otherwise(weight)
-    return weight
+POISSON = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(D.POISSON_CUTS)) + " ELSE 5 END"
 
 
 @query(TWO + f""", x AS (SELECT row_id, CAST(guess = truth AS INT) - CAST(predicted = truth AS INT) AS gain, replicate FROM d JOIN o USING (row_id), (SELECT unnest(range(1, 51)) AS replicate)),
@@ -280,7 +271,7 @@ def pl15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decided(spark, sf_dir).join(second_model(spark, sf_dir), "row_id")
     gain = (F.col("other") == F.col("truth")).cast("int") - (F.col("predicted") == F.col("truth")).cast("int")
     spread = rows.select("row_id", gain.alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("replicate"))
-    means = spread.withColumn("w", poisson(uniform("row_id", "replicate", seed=17))).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
+    means = spread.withColumn("w", D.poisson(uniform("row_id", "replicate", seed=17))).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 
@@ -299,4 +290,4 @@ def pl15_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two models in accuracy and macro F1 under a bootstrap of customers, whose rows stay together."""
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("cluster"))
     rows = decided(spark, sf_dir).join(second_model(spark, sf_dir), "row_id").join(own, "row_id")
-    return D.clustered_bootstrap(rows.select("cluster", "truth", "predicted", F.col("other")), 40, 23, poisson)
+    return D.clustered_bootstrap(rows.select("cluster", "truth", "predicted", F.col("other")), 40, 23)

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-for _name in ("analytics", "process", "profile", "records", "text", "vectors", "decisions", "splits", "composites", "sources", "artefacts", "estimators", "streams", "selection", "trained", "protocols", "workflow"):
+for _name in ("analytics", "process", "profile", "records", "text", "vectors", "decisions", "splits", "composites", "sources", "artefacts", "estimators", "streams", "selection", "trained", "protocols", "workflow", "evidence"):
     importlib.import_module(f"halyard.plans.{_name}")

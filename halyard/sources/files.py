@@ -21,15 +21,71 @@ def need(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def read_event_log(spark: SparkSession, uri: str) -> DataFrame:
-    """A CSV event log (UTF-8, with or without a mark at its start), times parsed, blank rows dropped."""
-    raw = spark.read.csv(uri, header=True, encoding="UTF-8")
-    named = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns))
+    """An event log, times parsed, blank rows dropped: CSV (UTF-8, with or without a mark at its start) or, where ``uri`` ends in .xlsx, a workbook or a folder of workbooks."""
+    if uri.lower().endswith(".xlsx"):
+        from halyard.sources.workbook import read_workbook
+
+        return event_rows(read_workbook(spark, uri))
+    return event_rows(spark.read.csv(uri, header=True, encoding="UTF-8"))
+
+
+def event_rows(raw: DataFrame) -> DataFrame:
+    """The rows of a log as text, typed; a missing column of the required ones raises an error."""
+    named = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
     rows = need(named, EVENT_COLUMNS)
     rows = rows.withColumns({"left_at": F.col("left_at") if "left_at" in rows.columns else F.lit(None).cast("string"), "source": F.col("source") if "source" in rows.columns else F.lit(None).cast("string")})
     parsed = rows.select(S.request_id("request_id").alias("request_id"), F.trim("status").alias("status"), S.excel_or_iso("entered_at").alias("entered_at"), S.excel_or_iso("left_at").alias("left_at"), "source")
     return parsed.where("request_id <> '' AND status <> '' AND entered_at IS NOT NULL")
 
 
+#: Text fields of a record that are empty, not null, where they are missing.
+FILLED = ("service", "category", "request_type", "description", "criticality", "urgency", "priority", "service_class", "timezone", "status", "final_line", "result")
+
+
+def full_record(raw: DataFrame, names: dict[str, str], source_hash: str, updated_at: str, users: tuple[str, ...] = (), late: str = "overdue") -> DataFrame:
+    """The 29 columns of a stored record from raw rows of text.
+
+    ``names`` maps logical names to the columns of ``raw``; absent ones are empty, or null where the record allows it. ``users`` are
+    columns that may name the user, the first filled one counts. A line took part if it has a time of reaction or of
+    work above zero. ``raw_json`` has all raw columns in order of their names.
+    """
+    own = {c: f"`{p}`" for c, p in names.items() if p in raw.columns}
+    text = lambda c: F.col(own[c]).cast("string") if c in own else F.lit(None).cast("string")
+    filled = {c: F.coalesce(text(c), F.lit("")) for c in FILLED}
+    named_users = [f"`{c}`" for c in users if c in raw.columns]
+    lines = [S.participated(S.duration_seconds(text(f"line{i}_reaction")), S.duration_seconds(text(f"line{i}_work"))) for i in range(1, 5)]
+    columns = {
+        "request_id": S.request_id(text("request_id")),
+        "registration_date": S.excel_or_iso(text("registration_date")),
+        "user_name": S.first_filled(*named_users) if named_users else F.lit(None).cast("string"),
+        "service": filled["service"],
+        "component": F.nullif(text("component"), F.lit("")),
+        **{c: filled[c] for c in ("category", "request_type", "description")},
+        "normalized_description": S.normalised(filled["description"]),
+        **{c: filled[c] for c in ("criticality", "urgency", "priority", "service_class", "timezone", "status")},
+        "overdue": S.overdue(text("overdue"), late).cast("int"),
+        "final_line": filled["final_line"],
+        "actual_duration_seconds": S.duration_seconds(text("actual_duration")),
+        "clarifications_count": F.coalesce(text("clarifications_count").try_cast("double").cast("int"), F.lit(0)),
+        "clarification_seconds": S.duration_seconds(text("clarification_duration")),
+        **{f"line{i}_participated": x for i, x in enumerate(lines, 1)},
+        "participants_count": sum(lines[1:], lines[0]),
+        "result": filled["result"],
+        "raw_json": F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(raw.columns))), {"ignoreNullFields": "false"}),
+        "source_hash": F.lit(source_hash),
+        "updated_at": F.lit(updated_at),
+    }
+    return raw.select(*(x.alias(c) for c, x in columns.items()))
+
+
+def unique_ids(rows: DataFrame, key: str = "request_id") -> DataFrame:
+    """``rows`` as they are; ids that are blank or occur twice raise an error that names some."""
+    bad = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == "")).orderBy(key).limit(5).collect()
+    if bad:
+        raise ValueError(f"ids that are blank or not unique: {', '.join(str(r[key]) for r in bad)}")
+    return rows
+
+
 def header_key(name: str) -> str:
     """Case, white space and the two forms of the letter io do not tell headers apart."""
     return re.sub(r"\s+", " ", name.strip().lower()).replace("ё", "е")

@@ -59,3 +59,42 @@ def drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "complete
     run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+AUDIT = "user_id long, event_id long, kind string, before string, after string, applied boolean"
+
+
+def moved(at: tuple[str, bool, bool], kind: str) -> tuple[tuple[str, bool, bool], bool]:
+    """State, confirmed category and confirmed route after an event, and whether it counts; as ``records.folded``."""
+    state, category, route = at
+    if state != "saved" and kind == "analysis":
+        return ("waiting_review", False, False), True
+    if state != "saved" and kind == "error":
+        return ("failed", category, route), True
+    if state == "waiting_review" and kind == "category_confirmed":
+        return (state, True, False), True
+    if state == "waiting_review" and kind == "route_confirmed" and category:
+        return (state, category, True), True
+    if state == "waiting_review" and kind == "saved" and category and route:
+        return ("saved", category, route), True
+    return at, False
+
+
+def audited(events: DataFrame) -> DataFrame:
+    """An audit row for each event of ``user_id, event_id, ts, kind`` as it arrives, with the ticket's state before and after.
+
+    The state of a ticket (three fields and a count) is all that is kept between batches. Events of a batch are taken in order of time
+    and id; the last audit row of a ticket has its present state.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = tuple(state.get) if state.exists else ("uploaded", False, False)
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
+            after, applied = moved(at, r.kind)
+            out.append((key[0], r.event_id, r.kind, at[0], after[0], applied))
+            at = after
+        state.update(at)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "kind", "before", "after", "applied"])
+
+    return events.groupBy("user_id").applyInPandasWithState(step, AUDIT, "state string, category boolean, route boolean", "append", GroupStateTimeout.NoTimeout)

@@ -27,3 +27,19 @@ def test_transitions_equal_the_batch(spark, tmp_path):
     s = E.stream(spark, f"{tmp_path}/in", rows.schema)
     n = E.drained(spark, E.transitions(s), "moves", "append").count()
     assert n == P.steps(status_events(spark, SF)).where("next_status is not null").count()
+
+
+def test_audits_equal_the_batch_fold(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from halyard.operators import records as R
+
+    kinds = {"view": "analysis", "error": "error", "click": "category_confirmed", "purchase": "route_confirmed", "signup": "saved"}
+    rows = table(spark, SF, "events").replace(kinds, subset=["event_type"]).withColumnRenamed("event_type", "kind").select("user_id", "event_id", "ts", "kind")
+    folded = {r.user_id: (r.state, r.n_applied) for r in R.folded(rows, "user_id", "kind", "ts", "event_id").collect()}
+    spark.conf.set("spark.sql.streaming.checkpointLocation", f"{tmp_path}/state")
+    rows.orderBy("ts", "event_id").coalesce(1).write.parquet(f"{tmp_path}/in")
+    audits = E.drained(spark, E.audited(E.stream(spark, f"{tmp_path}/in", rows.schema)), "audits", "append").join(rows.select("event_id", "ts"), "event_id")
+    last = audits.groupBy("user_id").agg(F.max_by("after", F.struct("ts", "event_id")).alias("state"), F.count_if("applied").alias("n"))
+    assert audits.count() == rows.count()
+    assert {r.user_id: (r.state, r.n) for r in last.collect()} == folded
