@@ -23,7 +23,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -221,8 +220,10 @@ class Best:
 
 
 def opened_batches(batches: Iterator[pa.RecordBatch], queries: Queries, index: Index) -> Iterator[Block]:
-    for row in chain.from_iterable(batch.to_pylist() for batch in batches):
-        yield opened(row, queries, index)
+    """Blocks one at a time: only one is out of its batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield opened({n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}, queries, index)
 
 
 def promising(blocks: DataFrame, sent, index: Index, k: int) -> DataFrame:
