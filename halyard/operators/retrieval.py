@@ -94,25 +94,38 @@ def metrics(ranked: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (1, 3, 5
     return by_query.agg(*(F.round(F.avg(c), 6).alias(c) for k in ks for c in (f"hit{k}", f"precision{k}")), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg10"))
 
 
-def edit_pairs(names: DataFrame, least: float = 0.6) -> DataFrame:
-    """``a, b, ratio``: all pairs of the distinct values in ``names.name`` at an edit ratio of ``least`` or more, a < b.
+def edit_candidates(names: DataFrame, least: float) -> DataFrame:
+    """``a, b, at, start, size, i, d``: where segment ``i`` of a longer name ``b``, which begins at ``at``, stands in ``a`` at ``start``.
 
-    A longer name of n characters is within d = floor((1 - least) n) edits of its partner, so of d + 1
-    segments of it one at least stands unchanged in the partner, at most d places off. Each name is
-    looked up by these segments only, and candidates are then measured. Nulls and empty names have no pairs.
+    A name ``b`` of n characters is within d = floor((1 - least) n) edits of its partner, so cut into d + 1
+    segments it has one that is whole in ``a`` with at most i edits left of it and at most d - i right of it.
+    These bounds fix the few places at which ``a`` is looked up.
     """
-    slack = 1 - least
     known = names.select("name").where("name <> ''").distinct().withColumn("n", F.length("name"))
     start = "cast(floor(i * long / (d + 1)) as int)"
     size = f"cast(floor((i + 1) * long / (d + 1)) as int) - {start}"
-    edits = F.floor(F.lit(slack) * F.col("long") + 1e-9).cast("int").alias("d")
+    edits = F.floor(F.lit(1 - least) * F.col("long") + 1e-9).cast("int").alias("d")
     segments = known.select(F.col("name").alias("b"), F.col("n").alias("long")).select("b", "long", edits).select("*", F.expr("explode(sequence(0, d)) AS i"))
-    segments = segments.select("b", "long", "i", F.expr(f"substring(b, {start} + 1, {size})").alias("part"))
+    segments = segments.select("b", "long", "d", "i", F.expr(start).alias("at"), F.expr(size).alias("size")).withColumn("part", F.expr("substring(b, at + 1, size)"))
     partners = known.select(F.col("name").alias("a"), "n", F.explode(F.sequence("n", F.floor(F.col("n") / least + 1e-9).cast("int"))).alias("long")).select("*", edits)
-    partners = partners.select("*", F.expr("explode(sequence(0, d)) AS i")).select("a", "n", "long", "d", "i", F.expr(start).alias("start"), F.expr(size).alias("size"))
-    places = partners.select("*", F.expr("explode(sequence(-d, d)) AS off")).where("start + off >= 0 AND start + off + size <= n")
-    asked = places.select("a", "long", "i", F.expr("substring(a, start + off + 1, size)").alias("part")).distinct()
-    met = asked.join(segments, ["long", "i", "part"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    partners = partners.where("long - n <= d").select("*", F.expr("explode(sequence(0, d)) AS i")).select("*", F.expr(start).alias("at"), F.expr(size).alias("size"))
+    low = "greatest(-i, n - long - d + i, -at)"
+    high = "least(i, n - long + d - i, n - size - at)"
+    places = partners.where(f"{low} <= {high}").select("*", F.expr(f"explode(sequence({low}, {high})) AS off"))
+    asked = places.select("a", "n", "long", "i", F.expr("at + off AS start"), F.expr("substring(a, at + off + 1, size)").alias("part"))
+    return asked.join(segments, ["long", "i", "part"]).where("n < long OR a < b").select("a", "b", "at", "start", "size", "i", "d")
+
+
+def edit_pairs(names: DataFrame, least: float = 0.6) -> DataFrame:
+    """``a, b, ratio``: all pairs of the distinct values in ``names.name`` at an edit ratio of ``least`` or more, a < b.
+
+    The parts left and right of a shared segment are measured where it is found, with their own limits, so
+    what is sent on is found pairs and not candidates. Nulls and empty names have no pairs.
+    """
+    found = edit_candidates(names, least)
+    left = "levenshtein(substring(a, 1, start), substring(b, 1, at), i) >= 0"
+    right = "levenshtein(substring(a, start + size + 1), substring(b, at + size + 1), d - i) >= 0"
+    met = found.where(f"{left} AND {right}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return met.withColumn("ratio", S.edit_ratio("a", "b")).where(F.col("ratio") >= least)
 
 

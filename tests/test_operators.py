@@ -175,6 +175,21 @@ def test_edit_pairs_are_all_pairs(spark):
     assert R.edit_pairs(df.limit(0)).count() == 0
 
 
+def test_edit_pairs_meet_few_others(spark):
+    import random
+
+    from halyard.operators import retrieval as R
+
+    words = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget".split()
+    rng = random.Random(1)
+    names = sorted({" ".join(rng.sample(words, 3)) for _ in range(200)})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    met = R.edit_candidates(df, 0.6)
+    found = R.edit_pairs(df, 0.6)
+    assert met.count() < 0.7 * len(names) * (len(names) - 1) / 2 and found.count() < 0.05 * met.count() + len(names) * 4
+    assert found.where("ratio < 0.6 OR a >= b").count() == 0
+
+
 def test_missing_field_scenarios(spark):
     from halyard.operators import policies as P
 
