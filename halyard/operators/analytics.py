@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.operators import prefix
 
 DIMENSIONS = ("service", "category", "priority", "final_line")
 
@@ -86,10 +87,9 @@ def threshold(tickets: DataFrame, q: float = 0.9, least: int = 3) -> DataFrame:
 
     Counts by value come first, so what is sorted is the values that occur and not the rows.
     """
-    counts = tickets.groupBy(F.col("clarifications").alias("v")).count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).withColumn("n", F.sum("count").over(Window.partitionBy()))
-    place = F.ceil(q * (F.col("n") - 1))
-    return upto.where(F.col("upto") > place).agg(F.greatest(F.coalesce(F.min("v"), F.lit(0)), F.lit(least)).alias("threshold"))
+    counts = tickets.groupBy(F.col("clarifications").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.ceil(q * (F.col("n_all") - 1))
+    return prefix.running(counts, "v", ["n"]).where(F.col("n_upto") > place).agg(F.greatest(F.coalesce(F.min("v"), F.lit(0)), F.lit(least)).alias("threshold"))
 
 
 def monthly(tickets: DataFrame) -> DataFrame:

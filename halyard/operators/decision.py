@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.operators import prefix
 
 
 def ranked(p: DataFrame, *keys: str) -> DataFrame:
@@ -87,10 +88,9 @@ def calibration(p: DataFrame, d: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def curve(scores: DataFrame, score: str, hit: Column, *keys: str) -> DataFrame:
-    """Numbers of rows and hits at or above each distinct score. Counts by score come first."""
+    """Numbers of rows and hits at or above each distinct score, and ``n_all`` and ``k_all`` of the key. Counts by score come first."""
     counts = scores.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(hit.cast("int")).alias("k"))
-    own = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumns({"n_above": F.sum("n").over(own), "k_above": F.sum("k").over(own)})
+    return prefix.running(counts, score, ["n", "k"], keys, descending=True).withColumnsRenamed({"n_upto": "n_above", "k_upto": "k_above"})
 
 
 def class_thresholds(d: DataFrame, target: float, least: int) -> DataFrame:
@@ -125,16 +125,15 @@ def conformal_sets(p: DataFrame, calibration_rows: Column, alpha: float) -> Data
     own = Window.partitionBy("row_id").orderBy(F.desc("p"), "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = p.withColumn("cum", F.round(F.sum("p").over(own), 9))
     scores = cum.where(calibration_rows & (F.col("label") == F.col("truth"))).groupBy("cum").agg(F.count(F.lit(1)).alias("n"))
-    upto = scores.withColumns({"upto": F.sum("n").over(Window.orderBy("cum")), "total": F.sum("n").over(Window.partitionBy())})
-    q = upto.where(F.col("upto") >= F.least(F.col("total"), F.ceil((F.col("total") + 1) * (1 - alpha)))).agg(F.min("cum").alias("q"))
+    upto = prefix.running(scores, "cum", ["n"])
+    q = upto.where(F.col("n_upto") >= F.least(F.col("n_all"), F.ceil((F.col("n_all") + 1) * (1 - alpha)))).agg(F.min("cum").alias("q"))
     inside = cum.where(~calibration_rows).join(F.broadcast(q)).where(F.round(F.col("cum") - F.col("p"), 9) < F.col("q"))
     return inside.groupBy("row_id", "truth").agg(F.array_join(F.sort_array(F.collect_list("label")), ",").alias("set"), F.max((F.col("label") == F.col("truth")).cast("int")).alias("covered"))
 
 
 def auroc(scores: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve with mid-ranks, average precision and the false positive rate at 95 % recall."""
-    c = curve(scores, score, positive)
-    t = c.withColumns({"pos": F.sum("k").over(Window.partitionBy()), "neg": F.sum(F.col("n") - F.col("k")).over(Window.partitionBy())})
+    t = curve(scores, score, positive).withColumns({"pos": F.col("k_all"), "neg": F.col("n_all") - F.col("k_all")})
     above_neg = F.col("n_above") - F.col("k_above")
     return t.agg(
         F.round(F.sum(F.col("k") * (F.col("neg") - above_neg + (F.col("n") - F.col("k")) / 2)) / F.first("pos") / F.first("neg"), 6).alias("auroc"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.operators import prefix
 
 
 def grouped(rows: DataFrame, group: str, label: str, least_groups: int = 4, lockbox: float = 0.2, calibration: float = 0.15, repeats: int = 3, folds: int = 4, synthetic: str | None = None) -> DataFrame:
@@ -40,6 +41,6 @@ def overlap(assigned: DataFrame, group: str) -> DataFrame:
 def temporal(rows: DataFrame, at: str, share: float = 0.2) -> DataFrame:
     """Whether a row is among the last share by time. Counts by time come first; ties stay together in the test part."""
     counts = rows.groupBy(at).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumns({"before": F.sum("n").over(Window.orderBy(at)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy())})
-    edge = upto.where(F.col("before") >= F.floor(F.col("total") * (1 - share))).agg(F.min(at).alias("edge"))
+    upto = prefix.running(counts, at, ["n"])
+    edge = upto.where(F.col("n_upto") - F.col("n") >= F.floor(F.col("n_all") * (1 - share))).agg(F.min(at).alias("edge"))
     return rows.join(F.broadcast(edge)).withColumn("is_test", F.coalesce(F.col(at) >= F.col("edge"), F.lit(False))).drop("edge")

@@ -128,7 +128,7 @@ SELECT round(min(margin), 6) AS threshold, CAST(min(na - ka) AS BIGINT) AS false
 def wn10_oos_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least score at which nine in ten errors are flagged; the score is the negative margin."""
     d = decided(spark, sf_dir).withColumn("score", -F.col("margin"))
-    c = D.curve(d, "score", F.col("truth") != F.col("predicted")).withColumn("pos", F.sum("k").over(Window.partitionBy())).where("k_above >= 0.9 * pos")
+    c = D.curve(d, "score", F.col("truth") != F.col("predicted")).where("k_above >= 0.9 * k_all")
     return c.agg(F.round(-F.max("score"), 6).alias("threshold"), F.min(F.col("n_above") - F.col("k_above")).alias("false_alarms"))
 
 
