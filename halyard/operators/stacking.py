@@ -39,11 +39,12 @@ def fold_of(rows: DataFrame, group: str, k: int) -> DataFrame:
     return rows.withColumn("fold", S.hash_bucket(group, k))
 
 
-def logistic(n_labels: int, reg: float = 0.01, max_iter: int = 20) -> Callable[[DataFrame], Scorer]:
-    """A multinomial fit with balanced weights on ``features``; ``label`` is the place of the label."""
+def logistic(n_labels: int, reg: float = 0.01, max_iter: int = 20, even: bool = True) -> Callable[[DataFrame], Scorer]:
+    """A multinomial fit on ``features``, with labels of ``even`` weight or all rows alike; ``label`` is the place of the label."""
 
     def fit(train: DataFrame) -> Scorer:
-        rows = L.balanced(train.select("id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")), "label")
+        rows = train.select("id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
+        rows = L.balanced(rows, "label") if even else rows.withColumn("weight", F.lit(1.0))
         model = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg).fit(rows)
         full = lambda p: F.transform(F.sequence(F.lit(1), F.lit(n_labels)), lambda i: F.coalesce(F.try_element_at(p, i), F.lit(0.0)))
         return lambda test: model.transform(test.select("id", array_to_vector("features").alias("features"))).select("id", full(vector_to_array("probability")).alias("p"))

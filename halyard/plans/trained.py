@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from halyard.functions import scalars as S
 from halyard.operators import decision as D
 from halyard.operators import stacking as K
+from halyard.operators import sweeps as W
 from halyard.plans.registry import query
 from halyard.session import stored
 from halyard.sources.domain import predictions, table
@@ -80,3 +81,31 @@ def ml04_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = categories(spark, sf_dir)
     found = K.boosted(rows.drop("truth"), ["source", "first", "last"], LANGUAGES)
     return found.join(rows.select("id", "truth"), "id")
+
+
+@query()
+def ex13_tuned_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads by penalty and weights on the development folds; the best one with its specialist, temperature and review policy.
+
+    The fourth of the documents that is held out takes no part.
+    """
+    n = len(LANGUAGES)
+    rows = hashed_words(spark, sf_dir).where("label >= 0").where(~held_out())
+    grid = W.head_grid(n, (0.001, 0.01, 0.1))
+    scores = stored(W.fold_scores(rows, [*grid, K.Branch("specialist", K.prototype(n))], 3), "scores")
+    places = stored(W.compared(W.measured(scores.where("branch <> 'specialist'"))), "places")
+    best = places.where("place = 1").first()["branch"]
+    mended = stored(W.specialised(scores.where(F.col("branch") == best), scores.where("branch = 'specialist'")), "mended")
+    t, nll = W.temperature(mended)
+    policy = W.review_policy(mended.withColumn("p", W.tempered(F.col("p"), t))).select(*(F.round(c, 6).alias(c) for c in ("threshold", "margin", "f1", "coverage", "accepted_accuracy", "review_error_rate")))
+    swaps = mended.agg(F.count_if("swapped").alias("swapped"))
+    chosen = policy.join(F.broadcast(swaps)).select(F.lit(1).alias("place"), F.lit(round(t, 6)).alias("temperature"), F.lit(nll and round(nll, 6)).cast("double").alias("nll"), *policy.columns, "swapped")
+    return places.drop("top1_std").join(chosen, "place", "left")
+
+
+@query()
+def ex14_candidate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads on vectors, fitted fold by fold: means and the spread of each candidate."""
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+    branches = [K.Branch("logistic", K.logistic(10, 0.01)), K.Branch("prototype", K.prototype(10)), K.Branch("nearest", K.nearest(10))]
+    return W.compared(W.measured(W.fold_scores(rows, branches, 4)))
