@@ -106,3 +106,30 @@ def prj3_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns by alias, whatever the case, the spaces and the two forms of one letter."""
     headed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(" Supplier  KEY "), F.col("s_name").alias("Ещё ИМЯ"), F.col("s_name").alias("third"))
     return X.by_alias(headed, {"request_id": ("number", "supplier key"), "description": ("еще имя", "third"), "service": ("svc",)})
+
+
+PACKAGE = """WITH f AS (SELECT 'source=' || source || '/shard=' || (doc_id // 1000) AS relative, source <> 'src7' AS included, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY source, doc_id // 1000),
+h AS (SELECT relative, included, CAST(octet_length(encode(body)) AS BIGINT) AS length, sha256(body) AS sha256 FROM f),
+g AS (SELECT substr(sha256(relative), 1, 2) AS g, count(*) AS n, sum(length) AS b, sha256(string_agg(sha256 || '  ' || relative, chr(10) ORDER BY sha256 || '  ' || relative)) AS h FROM h WHERE included GROUP BY 1)"""
+
+
+def package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of the documents' texts in folders of source and shard, one file each, as an inventory."""
+    path = shared_path(spark, "package")
+    texts = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("shard"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"))
+    bodies = texts.groupBy("source", "shard").agg(F.array_join(F.transform(F.sort_array(F.collect_list("d")), lambda d: d["text"]), "\n").alias("value"))
+    bodies.write.partitionBy("source", "shard").text(path)
+    files = X.inventory(X.hash_manifest(spark, path), path, parts=("source=src7",), prefixes=(".", "_"), suffixes=(".crc",))
+    return files.where("length > 0 AND relative LIKE 'source=%'").withColumn("relative", F.regexp_extract("relative", "^(.*)/[^/]*$", 1))
+
+
+@query(PACKAGE + " SELECT relative, included, length, sha256 FROM h")
+def ex20_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, length, hash and inclusion of each file of a package."""
+    return package(spark, sf_dir).select("relative", "included", "length", "sha256")
+
+
+@query(PACKAGE + " SELECT CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, sha256(string_agg(h || '  ' || g, chr(10) ORDER BY h || '  ' || g)) AS sha256 FROM g")
+def ex20_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of all included files."""
+    return X.snapshot(package(spark, sf_dir).where("included"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,32 @@ def hash_manifest(spark: SparkSession, uri: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def inventory(manifest: DataFrame, root: str, parts: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``manifest`` with ``relative``, the path below ``root``, and ``included``.
+
+    A file is left out if a part of its relative path is one of ``parts`` or begins with one of ``prefixes``, or if its
+    name ends with one of ``suffixes``. A file that is not below ``root`` has no relative path and is left out.
+    """
+    path, top = F.regexp_replace("path", "^file:/+", "/"), re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    relative = F.when(F.startswith(path, F.lit(top)), F.substring(path, F.lit(len(top) + 1), F.length(path)))
+    named = lambda x: reduce(Column.__or__, [*(x == v for v in parts), *(F.startswith(x, F.lit(v)) for v in prefixes)], F.lit(False))
+    ends = reduce(Column.__or__, [F.endswith("relative", F.lit(v)) for v in suffixes], F.lit(False))
+    out = manifest.withColumn("relative", relative)
+    return out.withColumn("included", F.coalesce(~(F.exists(F.split("relative", "/"), named) | ends), F.lit(False)))
+
+
+def snapshot(files: DataFrame, path: str = "relative") -> DataFrame:
+    """One row, ``files, bytes, sha256``: a hash of all paths and contents that no order of the rows changes.
+
+    Files are hashed in 256 groups by a hash of their path first, then the groups; each line has the hash and the path.
+    """
+    line = F.concat("sha256", F.lit("  "), F.col(path))
+    group = F.substring(F.sha2(F.col(path).cast("binary"), 256), 1, 2)
+    hashed = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n").cast("binary"), 256)
+    groups = files.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"), hashed(line).alias("h"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), hashed(F.concat("h", F.lit("  "), "g")).alias("sha256"))
+
+
 def verified(found: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:
     """``key, state`` of two manifests with ``sha256``: same, changed, missing (not found) or new (not expected)."""
     rows = found.select(key, F.col("sha256").alias("own")).join(expected.select(key, F.col("sha256").alias("want")), key, "full")

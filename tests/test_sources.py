@@ -87,3 +87,28 @@ def test_manifest_states(spark):
     found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
     expected = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")
     assert {r["path"]: r["state"] for r in X.verified(found, expected).collect()} == {"a": "same", "b": "changed", "c": "new", "d": "missing"}
+
+
+def test_inventory_and_snapshot(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from halyard.sources import files as X
+
+    named = {"a.txt": b"one", "models/big.bin": b"two", "models/x.zip": b"three", ".cache/y": b"four", "logs/z.txt": b"", "deep/logs2/w.txt": b"five"}
+    for name, body in named.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    manifest = spark.createDataFrame([(f"file:{tmp_path}/{n}", len(b), hashlib.sha256(b).hexdigest()) for n, b in named.items()] + [("file:/elsewhere/a.txt", 1, "0" * 64)], "path string, length long, sha256 string")
+    got = {r.relative: r.included for r in X.inventory(manifest, f"file://{tmp_path}", ("logs",), (".",), (".zip",)).collect()}
+    assert got == {"a.txt": True, "models/big.bin": True, "models/x.zip": False, ".cache/y": False, "logs/z.txt": False, "deep/logs2/w.txt": True, None: False}
+    assert all(r.included == (r.relative is not None) for r in X.inventory(manifest, str(tmp_path)).collect())
+    found = X.hash_manifest(spark, str(tmp_path)).select("length", "sha256")
+    assert {(r.length, r.sha256) for r in found.collect()} >= {(len(b), hashlib.sha256(b).hexdigest()) for n, b in named.items() if b and not n.startswith(".")}
+    kept = X.inventory(manifest, f"file://{tmp_path}", ("logs",), (".",), (".zip",)).where("included")
+    one, two = X.snapshot(kept).first(), X.snapshot(kept.orderBy(F.desc("relative")).repartition(3)).first()
+    assert one == two and (one.files, one.bytes) == (3, 10)
+    moved = kept.withColumn("relative", F.when(F.col("relative") == "a.txt", "b.txt").otherwise(F.col("relative")))
+    assert X.snapshot(moved).first().sha256 != one.sha256
+    assert X.snapshot(kept.limit(0)).first().files == 0
