@@ -88,3 +88,49 @@ def test_empty(spark):
 def test_counts_survive_packing():
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert (N.unpack_counts(N.pack_counts(counts), 6) == counts).all()
+
+
+def exact_weights(kept1, kept2, deleted, total, types):
+    """Expectation-maximisation on every deleted bigram with its exact estimates, plainly."""
+    out = {}
+    by_bucket = {}
+    for (h, w), n in deleted.items():
+        by_bucket.setdefault(min(N.BUCKETS - 1, math.ceil(math.log2(kept1[h] + 1))), []).append((kept2[h, w] / max(1, kept1[h]), kept1[w] / total, 1 / (types + 1), n))
+    for b, own in by_bucket.items():
+        w = [1 / 3] * 3 if b else [0.0, 0.5, 0.5]
+        for _ in range(N.EM_ROUNDS):
+            sums = [0.0] * 3
+            for *p, n in own:
+                z = sum(x * y for x, y in zip(w, p, strict=True))
+                for k in range(3):
+                    sums[k] += n * w[k] * p[k] / z
+            w = [x / sum(sums) for x in sums]
+        out[b] = w
+    return out
+
+
+def test_steps_of_counts_lose_little(spark):
+    """Weights from exact counts against those of the operator: held-out text gets nearly the same probability."""
+    rows = corpus()
+    got = {(r.doc_id, r.n_tokens): r.score for r in N.scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
+    one, two, kept1, kept2, deleted = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, t in rows:
+        w = [N.START, *tokens(t)]
+        if fold(i) != 2:
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            (kept1 if fold(i) != 3 else Counter()).update(w)
+            (kept2 if fold(i) != 3 else deleted).update(zip(w, w[1:], strict=False))
+    total, types = sum(one.values()) - one[N.START], len(one) - 1
+    fit = exact_weights(kept1, kept2, deleted, sum(kept1.values()) - kept1[N.START], len(kept1) - 1)
+    loss, n = 0.0, 0
+    for i, t in rows:
+        w = [N.START, *tokens(t)]
+        if fold(i) == 2:
+            score = 0.0
+            for h, x in zip(w, w[1:], strict=False):
+                a, b, c = fit.get(min(N.BUCKETS - 1, math.ceil(math.log2(one[h] + 1))), (1 / 3, 1 / 3, 1 / 3) if one[h] else (0, 0.5, 0.5))
+                score += math.log10(a * two[h, x] / max(1, one[h]) + b * one[x] / total + c / (types + 1))
+            loss += score - got[i, len(w) - 1]
+            n += len(w) - 1
+    assert n > 300 and abs(loss) / n < 0.005
