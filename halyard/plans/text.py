@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
@@ -38,27 +43,80 @@ def sc10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 NGRAMS = "SELECT doc_id, k, count(*) AS n, count(DISTINCT gram) AS n_distinct, min(gram) AS first, max(gram) AS last FROM g GROUP BY 1, 2"
 
 
-def ngram_report(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gram").alias("n_distinct"), F.min("gram").alias("first"), F.max("gram").alias("last"))
+def ngram_report(rows: DataFrame, grams: Callable[[int], Column], sizes: Sequence[int], total: Callable[[int], Column], own: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Counts and ends of the runs in ``doc_id, w``; ``grams(k)`` holds every different run of size k, ``total(k)`` is their number.
+
+    A document's runs stay in its row. Only ids that several rows share meet in a shuffle of runs. ``own``, if
+    given, reports on rows whose id is their own.
+    """
+    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+
+    def found(part: DataFrame) -> DataFrame:
+        kinds = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), total(k).cast("long").alias("n"), grams(k).alias("g")) for k in sizes))
+        return part.select("doc_id", F.explode(kinds).alias("x")).select("doc_id", "x.*").where("n > 0")
+
+    def in_row(part: DataFrame) -> DataFrame:
+        kinds = found(part).select("doc_id", "k", "n", F.array_distinct("g").alias("g"))
+        return kinds.select("doc_id", "k", "n", F.size("g").cast("long").alias("n_distinct"), F.array_min("g").alias("first"), F.array_max("g").alias("last"))
+
+    single = (own or in_row)(rows.join(several, same, "left_anti"))
+    shared = found(rows.join(several, same, "left_semi"))
+    counts = shared.groupBy("doc_id", "k").agg(F.sum("n").alias("n"))
+    ends = shared.select("doc_id", "k", F.explode("g").alias("g")).groupBy("doc_id", "k").agg(F.count_distinct("g").alias("n_distinct"), F.min("g").alias("first"), F.max("g").alias("last"))
+    keys = counts.select(F.col("doc_id").alias("id"), F.col("k").alias("size"), "n")
+    met = ends.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("size")))
+    return single.unionByName(met.select("doc_id", "k", "n", "n_distinct", "first", "last"))
 
 
 @query(f"WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), g AS (SELECT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (SELECT unnest([1, 2, 3])::BIGINT AS k) WHERE len(w) >= k)) {NGRAMS}")
 def sc11_word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one to three words of each document."""
     words = docs(spark, sf_dir).select("doc_id", S.tokens("text").alias("w"))
-    grams = [words.select("doc_id", F.lit(k).cast("long").alias("k"), F.explode(S.word_ngrams(F.col("w"), k)).alias("gram")) for k in (1, 2, 3)]
-    return ngram_report(grams[0].unionByName(grams[1]).unionByName(grams[2]))
+    return ngram_report(words, lambda k: S.word_ngrams("w", k), (1, 2, 3), lambda k: F.greatest(F.size("w") - (k - 1), F.lit(0)))
+
+
+CHARS = (2, 3, 4, 5, 6)
+
+
+def char_report(rows: DataFrame) -> DataFrame:
+    """``ngram_report`` of characters, row by row; runs of a word are cut once for as long as it is remembered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=1 << 15)
+        def cut(word: str) -> list[tuple[frozenset[str], str, str]]:
+            w = f" {word} "
+            sets = [frozenset(w[i : i + k] for i in range(max(1, len(w) - k + 1))) for k in CHARS]
+            return [(x, min(x), max(x)) for x in sets]
+
+        for batch in batches:
+            found = {c: [] for c in ("row", "k", "n", "n_distinct", "first", "last")}
+            for row, words in enumerate(batch["w"].to_pylist()):
+                if not words:
+                    continue
+                sizes = Counter(map(len, words))
+                for k, parts in zip(CHARS, zip(*map(cut, set(words)))):
+                    grams, low, high = zip(*parts)
+                    n = sum(c * max(1, size + 3 - k) for size, c in sizes.items())
+                    for c, x in zip(found, (row, k, n, len(set().union(*grams)), min(low), max(high))):
+                        found[c].append(x)
+            ids = batch["doc_id"].take(pa.array(found.pop("row"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.string() if c in ("first", "last") else pa.int64()) for c, x in found.items())], ["doc_id", *found])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "w").mapInArrow(run, f"doc_id {kind}, k long, n long, n_distinct long, first string, last string")
+
+
+def char_ngram_report(rows: DataFrame) -> DataFrame:
+    """The report of ``doc_id, w, d``; different runs are those of the different words ``d``."""
+    total = lambda k: F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.length(w) + (3 - k), F.lit(1))), F.lit(0))
+    return ngram_report(rows, lambda k: S.char_ngrams("d", k), CHARS, total, char_report)
 
 
 @query(f"WITH t AS (SELECT doc_id, ' ' || unnest({TOKENS}) || ' ' AS w FROM documents), g AS (SELECT doc_id, k, CASE WHEN length(w) <= k THEN w ELSE substr(w, i, k) END AS gram FROM (SELECT doc_id, w, k, unnest(range(1, greatest(2, length(w) - k + 2))) AS i FROM t, (SELECT unnest([2, 3, 4, 5, 6])::BIGINT AS k))) {NGRAMS}")
 def sc11_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two to six characters in the words of each document."""
-    words = docs(spark, sf_dir).select("doc_id", S.tokens("text").alias("w"))
-    found = None
-    for k in range(2, 7):
-        grams = words.select("doc_id", F.lit(k).cast("long").alias("k"), F.explode(S.char_ngrams(F.col("w"), k)).alias("gram"))
-        found = grams if found is None else found.unionByName(grams)
-    return ngram_report(found)
+    return char_ngram_report(docs(spark, sf_dir).select("doc_id", S.tokens("text").alias("w")).select("doc_id", "w", F.array_distinct("w").alias("d")))
 
 
 @query(WEIGHTS + " SELECT doc_id, count(*) AS n, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM weights GROUP BY 1")

@@ -218,3 +218,25 @@ def test_route_of_a_row(spark):
     got = {r["request_id"]: (r["final_line"], r["p"]) for r in A.routed(rows, model, likely, prior).collect()}
     two = 0.45 * 0.40 + 0.55 * (0.8 * 19 / 23 + 0.2 * 3 / 23)
     assert got == {1: ("two", round(two, 4)), 2: ("one", round(0.45 * 0.45 + 0.55 * 19 / 23, 4)), 3: ("one", 0.45)}
+
+
+def test_ngram_reports_stay_in_their_rows(spark):
+    from halyard.plans import registry, text as X
+
+    assert "sc11_char_ngrams" in registry.QUERIES
+    rows = [(1, ["ab", "a", "ab"]), (2, ["ab", "c"]), (2, ["de"]), (3, []), (4, None), (None, ["x", "yz"]), (None, ["x"])]
+    frame = spark.createDataFrame(rows, "doc_id long, w array<string>").select("*", F.array_distinct("w").alias("d"))
+    cut = {
+        "words": lambda w, k: [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)],
+        "chars": lambda w, k: [f" {x} "[i : i + k] for x in w for i in range(max(1, len(x) + 3 - k))],
+    }
+    words = X.ngram_report(frame, lambda k: S.word_ngrams("w", k), (1, 2, 3), lambda k: F.greatest(F.size("w") - (k - 1), F.lit(0)))
+    for kind, sizes, got in (("words", (1, 2, 3), words), ("chars", X.CHARS, X.char_ngram_report(frame))):
+        grams = {}
+        for doc, w in rows:
+            for k in sizes:
+                grams.setdefault((doc, k), []).extend(cut[kind](w or [], k))
+        want = {(*key, len(g), len(set(g)), min(g), max(g)) for key, g in grams.items() if g}
+        assert set(map(tuple, got.collect())) == want
+        plan = got.where("doc_id = 1")._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "LeftSemi" in plan  # only ids of several rows go the way of shuffled runs
