@@ -124,3 +124,36 @@ def test_label_pairs_in_blocks(spark):
     for block in (7, 1000):
         got = [(r.a, r.b) for r in dense.label_pairs(frame, 0.7, block).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_lexical_scores(spark, monkeypatch):
+    """Several groups of queries, batches of few documents and steps of few entries, weights of either sign, copies, no terms."""
+    from halyard.operators import lexical
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(d, t, rng.choice([-0.5, 0.25, 1.0, 1.5]), rng.choice([0.5, 1.0, 2.0])) for d in range(120) for t in ["w0"] * (d % 3 > 0) + rng.sample(words[1:], rng.randint(0, 8))]
+    postings = spark.createDataFrame(rows, "doc_id long, term string, w double, q double")
+    for name, value in (("QUERY_BYTES", 600), ("CELLS", 12), ("ENTRIES", 5)):
+        monkeypatch.setattr(lexical, name, value)
+    facets = spark.createDataFrame([(d, [None if d % 5 == 0 else f"f{d % 3}"]) for d in range(120)], "doc_id long, facets array<string>")
+    groups = spark.createDataFrame([(d, d // 2) for d in range(120)], "doc_id long, own long")
+    by_doc = {}
+    for d, t, w, q in rows:
+        by_doc.setdefault(d, {})[t] = (w, q)
+    pairs = {(i, j): round(sum(by_doc[j][t][0] * by_doc[i][t][1] for t in shared), 9) for i in by_doc if i % 10 == 0 for j in by_doc if i != j and (shared := by_doc[i].keys() & by_doc[j].keys())}
+
+    def best(scores, k):
+        return {(i, j, s) for i in {i for i, _ in scores} for s, j in [(-s, j) for s, j in sorted((-s, j) for (a, j), s in scores.items() if a == i)[:k]]}
+
+    got = lexical.top_k(lexical.build(postings, 10), 4)
+    assert {(r.query_id, r.doc_id, r.score) for r in got.collect()} == best(pairs, 4)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair is shuffled
+    got = lexical.top_k(lexical.build(postings, 10, groups=groups, facets=facets), 4, {0: 0.5}, 1.0)
+    boosted = {(i, j): s + 0.5 * (i % 5 > 0 and j % 5 > 0 and i % 3 == j % 3) for (i, j), s in pairs.items() if i // 2 != j // 2}
+    assert {(r.query_id, r.doc_id, r.score) for r in got.collect()} == best({p: s for p, s in boosted.items() if s >= 1.0}, 4)
+    ends = {i: [s for (a, _), s in pairs.items() if a == i] for i, _ in pairs}
+    want = {(i, j): (s - min(ends[i])) / (max(ends[i]) - min(ends[i])) if max(ends[i]) > min(ends[i]) else 0.0 for (i, j), s in pairs.items()}
+    found = {(r.query_id, r.doc_id): r.score for r in lexical.minmax(lexical.build(postings, 10)).collect()}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
+    assert lexical.top_k(lexical.build(postings.limit(0), 10), 4).count() == 0
