@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
 from halyard.operators import dense as D
+from halyard.operators import prefix
 from halyard.operators import retrieval as R
 from halyard.operators.similarity import greedy_dropped
 from halyard.plans.registry import query
 from halyard.plans.selection import GREEDY
+from halyard.session import stored
 from halyard.sources.domain import table
 
 V = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), v AS (SELECT vec_id, label, [y / sqrt(list_dot_product(x, x)) FOR y IN x] AS v FROM e)"
@@ -90,27 +92,18 @@ def pl03_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 TWO = NEAR + ", t AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.x[1:16], d.x[1:16]), 9) AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0), n1 AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM near WINDOW w AS (PARTITION BY query_id)), n2 AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM t WINDOW w AS (PARTITION BY query_id))"
 
 
-def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second retriever: dot products of the first 16 dimensions."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("x"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(S.dot("x", "q"), 9).alias("score"))
-
-
 @query(TWO + f", h AS (SELECT query_id, doc_id, round(0.7 * n1.s + 0.3 * n2.s, 9) AS score FROM n1 JOIN n2 USING (query_id, doc_id)) SELECT query_id, doc_id, round(score, 6) AS score, {RANK} AS rank FROM h QUALIFY rank <= 5")
 def pl03_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = R.minmax(R.nearest(unit_vectors(spark, sf_dir))), R.minmax(coarse(spark, sf_dir)).withColumnRenamed("score", "other")
-    mixed = a.join(b, ["query_id", "doc_id"]).select("query_id", "doc_id", F.round(0.7 * F.col("score") + 0.3 * F.col("other"), 9).alias("score"))
-    return R.best(mixed, 5).withColumn("score", F.round("score", 6))
+    """Cosine and, as a second retriever, dot products of the first 16 dimensions, at 0.7 and 0.3."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = stored(e.select(F.col("vec_id").cast("long").alias("vec_id"), S.unit("embedding").alias("v"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x")).where("v IS NOT NULL"), "vectors")
+    return D.mixed_top_k(rows, 5, (0.7, 0.3), R.EVERY).withColumn("score", F.round("score", 6))
 
 
 @query(NEAR + f", g AS (SELECT query_id, doc_id, score, d.label = q.label AS rel FROM near JOIN v d ON d.vec_id = doc_id JOIN v q ON q.vec_id = query_id), c AS (SELECT score, sum(n) OVER (ORDER BY score DESC) AS na, sum(k) OVER (ORDER BY score DESC) AS ka FROM (SELECT round(score, 4) AS score, count(*) AS n, count(*) FILTER (rel) AS k FROM g GROUP BY 1)) SELECT min(score) AS threshold, CAST(max(na) AS BIGINT) AS accepted FROM c WHERE ka >= 0.8 * na")
 def wn09_relevance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from halyard.operators.decision import curve
-
-    v = unit_vectors(spark, sf_dir)
-    rows = R.nearest(v).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    c = curve(rows.withColumn("s", F.round("score", 4)), "s", F.col("label") == F.col("own")).where("k_above >= 0.8 * n_above")
+    rows = stored(unit_vectors(spark, sf_dir).where("v IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "label", "v"), "vectors")
+    c = prefix.running(D.score_counts(rows, R.EVERY), "s", ["n", "k"], descending=True).withColumnsRenamed({"n_upto": "n_above", "k_upto": "k_above"}).where("k_above >= 0.8 * n_above")
     return c.agg(F.min("s").alias("threshold"), F.max("n_above").alias("accepted"))
 
 

@@ -157,3 +157,34 @@ def test_lexical_scores(spark, monkeypatch):
     found = {(r.query_id, r.doc_id): r.score for r in lexical.minmax(lexical.build(postings, 10)).collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
     assert lexical.top_k(lexical.build(postings.limit(0), 10), 4).count() == 0
+
+
+def test_dense_scores_in_tasks(spark, monkeypatch):
+    """Two scores mixed, and counts by score, in several groups and batches, against all pairs."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    labels = rng.integers(0, 3, 90)
+    rows = spark.createDataFrame([(i, int(labels[i]), v[i].tolist(), v[i, :2].tolist()) for i in range(90)], "vec_id long, label int, v array<double>, x array<double>")
+    monkeypatch.setattr(dense, "QUERY_BYTES", 300)
+    monkeypatch.setattr(dense, "CELLS", 8)
+    want, counts = set(), {}
+    for q in range(0, 90, 10):
+        others = [d for d in range(90) if d != q]
+        scaled = []
+        for w in (v, v[:, :2]):
+            s = np.round(w[others] @ w[q], 9)
+            scaled.append((s - s.min()) / (s.max() - s.min()))
+        mixed = np.round(0.7 * scaled[0] + 0.3 * scaled[1], 9)
+        want |= {(q, others[i], rank + 1) for rank, i in enumerate(sorted(range(89), key=lambda i: (-mixed[i], others[i]))[:3])}
+        for d in others:
+            s = round(float(np.round(v[d] @ v[q], 9)), 2)
+            n, k = counts.get(s, (0, 0))
+            counts[s] = n + 1, k + int(labels[d] == labels[q])
+    found = dense.mixed_top_k(rows, 3, (0.7, 0.3), 10)
+    assert {(r.query_id, r.doc_id, r.rank) for r in found.collect()} == want
+    assert {r.s: (r.n, r.k) for r in dense.score_counts(rows, 10, 2).collect()} == counts
+    pairs = dense.label_pairs(rows, 0.2, block=7, strip=3)
+    every = {(i, j) for i in range(90) for j in range(i + 1, 90) if labels[i] == labels[j] and round(v[i] @ v[j], 9) >= 0.2}
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(every)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is shuffled
