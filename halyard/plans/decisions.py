@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.operators import decision as D
@@ -207,12 +207,16 @@ def pl12_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TWO + ", w AS (SELECT CAST(unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS DOUBLE) AS w), m AS (SELECT w, a.row_id, a.label, a.truth, row_number() OVER (PARTITION BY w, a.row_id ORDER BY round(w * a.p + (1 - w) * b.p, 9) DESC, a.label) AS r FROM predictions a JOIN other b USING (row_id, label), w) SELECT w AS weight, round(avg(CAST(label = truth AS INT)), 6) AS accuracy FROM m WHERE r = 1 GROUP BY 1")
 def pl10_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of every blend weight in one pass: a row's labels meet once, the grid is an array."""
+    """Accuracy of every blend weight in one pass: a row's labels meet once, as a list that every weight reads."""
     a, b = predictions(spark, sf_dir, "a"), predictions(spark, sf_dir, "b").select("row_id", "label", F.col("p").alias("q"))
-    rows = a.join(b, ["row_id", "label"]).select("row_id", "label", "truth", "p", "q", F.explode(F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))).alias("weight"))
-    mixed = F.round(F.col("weight") * F.col("p") + (1 - F.col("weight")) * F.col("q"), 9)
-    best = rows.groupBy("weight", "row_id", "truth").agg(F.min(F.struct((-mixed).alias("m"), "label"))["label"].alias("predicted"))
-    return best.groupBy("weight").agg(F.round(F.avg((F.col("predicted") == F.col("truth")).cast("int")), 6).alias("accuracy"))
+    rows = a.join(b, ["row_id", "label"]).groupBy("row_id", "truth").agg(F.collect_list(F.struct("label", "p", "q")).alias("found"))
+
+    def predicted(weight: float) -> Column:
+        mixed = lambda x: F.round(weight * x["p"] + (1 - F.lit(weight)) * x["q"], 9)
+        return F.array_min(F.transform("found", lambda x: F.struct((-mixed(x)).alias("m"), x["label"].alias("label"))))["label"]
+
+    hits = F.array(*(F.struct(F.lit(w).alias("weight"), (predicted(w) == F.col("truth")).cast("int").alias("hit")) for w in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))
+    return rows.select(F.explode(hits).alias("x")).groupBy("x.weight").agg(F.round(F.avg("x.hit"), 6).alias("accuracy"))
 
 
 FOLDS = f"""WITH {predictions_sql()}, f AS (SELECT repeat, fold, row_id, label = truth AS hit FROM predictions QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY p DESC, label) = 1), a AS (SELECT repeat, fold, avg(CAST(hit AS INT)) AS top1 FROM f GROUP BY ALL)"""

@@ -240,3 +240,10 @@ def test_ngram_reports_stay_in_their_rows(spark):
         assert set(map(tuple, got.collect())) == want
         plan = got.where("doc_id = 1")._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftAnti" in plan and "LeftSemi" in plan  # only ids of several rows go the way of shuffled runs
+
+
+def test_weight_grid_is_spread_after_labels_meet(spark):
+    from halyard.plans import registry
+
+    plan = registry.QUERIES["pl10_weight_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("collect_list")  # the plan's root is its first line
