@@ -1,63 +1,130 @@
 """Exact similarity joins on token sets, a greedy selection on their links, and a cascade of checks.
 
 ``set_pairs`` orders the tokens of every row from rare to frequent. Two sets with a Jaccard similarity of t
-share a token among the first ``n - ceil(t n) + 1`` of each, so only these prefixes are indexed; lengths
-and the places of the shared token bound the overlap, and what is left is verified on the whole sets.
+share a token among the first ``n - ceil(t n) + 1`` of each, so only these prefixes are indexed; lengths, the places
+of the shared token and the sets' sketches bound the overlap where a pair meets, and what is left is verified
+on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.session import Rounds
 
+#: Tokens whose frequency is known to the order; tokens that a task orders at once; longs of a sketch.
+FREQUENT, TOKENS_AT_ONCE, WORDS = 1 << 17, 1 << 19, 6
 
-def ordered(rows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``side, id, n, tokens``: tokens from rare to frequent, ties by the token."""
-    return (
-        rows.select("side", "id", F.explode("tokens").alias("token")).join(frequency, "token")
-        .groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
-        .select("side", "id", F.size("found").alias("n"), F.col("found.token").alias("tokens"))
-    )
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Other bits of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-def set_pairs(left: DataFrame, right: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+
+def sketches(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Bits by row: each says whether an odd number of tokens falls on it, so sets differ in as many tokens as bits at least."""
+    bits = 64 * WORDS
+    odd = np.bincount(row * bits + (mixed(h) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, WORDS)
+
+
+def postings(batch: pa.RecordBatch, least: float, known: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """``s, side, id, n, i, b0, ...``: the prefix of each set ``side, id, within, h``, with the places of its tokens and the sketch.
+
+    The order is by frequency, as far as it is known, then by hash; it is the same for all rows.
+    """
+    n = batch.column("h").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    h = batch.column("h").flatten().to_numpy(zero_copy_only=False)
+    row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    count = np.where(known[at] == h, often[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    order = np.lexsort((h, count, row))
+    place = np.arange(len(h)) - start[row]
+    first = place < (n - np.ceil(n * least - 1e-9).astype(np.int64) + 1)[row]
+    token, of, bits = h[order][first], row[first], sketches(row, h.view(np.uint64), len(n))
+    seed = batch.column("within").to_numpy(zero_copy_only=False).view(np.uint64)
+    s, rows = mixed(token.view(np.uint64) + mixed(seed)[of]).view(np.int64), pa.array(of)
+    columns = [pa.array(s), batch.column("side").take(rows), batch.column("id").take(rows), pa.array(n[of].astype(np.int32)), pa.array(place[first].astype(np.int32)), *(pa.array(bits[of, k]) for k in range(WORDS))]
+    return pa.RecordBatch.from_arrays(columns, ["s", "side", "id", "n", "i", *(f"b{k}" for k in range(WORDS))])
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``TOKENS_AT_ONCE`` tokens at once."""
+    ends = np.cumsum(batch.column("h").value_lengths().to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        past = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, past + TOKENS_AT_ONCE, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """The ``postings`` of ``side, id, within, tokens``; sets stay in their row."""
+    hashed = rows.where("size(tokens) > 0").select("side", "id", F.xxhash64("within").alias("within"), F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
+    counts = hashed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow().sort_by("h")
+    known, often = (top.column(c).to_numpy() for c in ("h", "n"))
+    sent = rows.sparkSession.sparkContext.broadcast((known, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield postings(part, least, *sent.value)
+
+    bits = "".join(f", b{k} long" for k in range(WORDS))
+    return hashed.mapInArrow(run, f"s long, side string, id {rows.schema['id'].dataType.simpleString()}, n int, i int{bits}")
+
+
+def set_pairs(left: DataFrame, right: DataFrame | None = None, least: float = 0.8, within: str | None = None) -> DataFrame:
     """``a, b, similarity`` of all pairs of token sets with a Jaccard similarity of ``least`` or more.
 
     ``left`` and ``right`` have ``id, tokens``, with distinct tokens; without ``right`` pairs are within
-    ``left``, a < b. Null and empty sets have no pairs. Equal sets are pairs like others: to keep large
-    groups of copies from being paired, join ``class_heads`` instead of all rows.
+    ``left``, a < b. ``within`` is a column that both of a pair have alike and not null. Null and empty sets have no pairs. Equal
+    sets are pairs like others: to keep large groups of copies from being paired, join the first of ``classes`` instead of all rows.
     """
-    rows = left.select(F.lit("a").alias("side"), "id", "tokens")
-    if right is not None:
-        rows = rows.unionByName(right.select(F.lit("b").alias("side"), "id", "tokens"))
-    frequency = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    sets = ordered(rows, frequency)
-    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    prefixes = sets.select("side", "id", "n", F.posexplode(F.slice("tokens", F.lit(1), first.cast("int"))).alias("i", "token"))
+    key = F.col(within) if within else F.lit(0)
+    columns = lambda rows, side: rows.select(F.lit(side).alias("side"), "id", key.alias("within"), "tokens").where("within IS NOT NULL")
+    rows = columns(left, "a") if right is None else columns(left, "a").unionByName(columns(right, "b"))
+    keep = Rounds(rows.sparkSession)
+    parts = keep.keep(prefixes(rows, least))
     other = "a" if right is None else "b"
-    a = prefixes.where("side = 'a'").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "token")
-    b = prefixes.where(F.col("side") == other).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "token")
+
+    def side(which: str, name: str) -> DataFrame:
+        return parts.where(F.col("side") == which).select("s", F.col("id").alias(name), *(F.col(c).alias(f"{c}{name}") for c in ("n", "i", *(f"b{k}" for k in range(WORDS)))))
+
+    differ = F.floor((F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-9)
     overlap = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
     reach = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (reach >= overlap)
-    met = a.join(b, "token").where(near & (F.col("a") < F.col("b")) if right is None else near).select("a", "b").distinct()
-    x = sets.where("side = 'a'").select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.where(F.col("side") == other).select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"b{k}a").bitwiseXOR(F.col(f"b{k}b"))) for k in range(WORDS)])
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (reach >= overlap) & (bits <= differ)
+    pairs = keep.keep(side("a", "a").join(side(other, "b"), "s").where(near & (F.col("a") < F.col("b")) if right is None else near).select("a", "b").distinct())
+    ends = lambda name: keep.keep(pairs.select(F.col(name).alias("id")).distinct())
+    x = rows.where("side = 'a'").join(ends("a"), "id", "left_semi").select(F.col("id").alias("a"), F.col("within").alias("wa"), F.col("tokens").alias("x"))
+    y = rows.where(F.col("side") == other).join(ends("b"), "id", "left_semi").select(F.col("id").alias("b"), F.col("within").alias("wb"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    scored = met.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    scored = pairs.join(x, "a").join(y, "b").where("wa = wb").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
     return scored.where(F.col("similarity") >= least - 1e-12)
 
 
-def class_heads(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with ``head``, the smallest id among the rows of an equal token set (and equal ``within``)."""
-    key = F.sha2(F.array_join(F.sort_array("tokens"), "\x00").cast("binary"), 256)
-    keyed = rows.withColumn("_key", key)
-    heads = keyed.groupBy("_key", *within).agg(F.min("id").alias("head"))
-    return keyed.join(heads, ["_key", *within]).drop("_key")
+def classes(rows: DataFrame, within: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows with the smallest id of those of an equal token set (and equal ``within``, not null), and ``head, id`` of the others.
+
+    Only digests of the sets are shuffled; the rows themselves are met by their few copies.
+    """
+    digest = F.sha2(F.array_join(F.sort_array("tokens"), "\x00").cast("binary"), 256)
+    keyed = Rounds(rows.sparkSession).keep(rows.withColumn("_key", digest).dropna(subset=[*within]) if within else rows.withColumn("_key", digest))
+    own = keyed.select("id", "_key", *within)
+    heads = own.groupBy("_key", *within).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = Rounds(rows.sparkSession).keep(own.join(heads, ["_key", *within]).where("id <> head").select("head", "id", "_key", *within))
+    return keyed.join(copies.select("id", "_key", *within), ["id", "_key", *within], "left_anti").drop("_key"), copies.select("head", "id")
 
 
 def greedy_dropped(links: DataFrame) -> DataFrame:
@@ -143,11 +210,9 @@ def cascade(
     open_ = second.where("reason IS NULL").select("id", "label", "tokens")
     leaked = set_pairs(open_.select("id", "tokens"), real.select("id", "tokens"), contamination).select(F.col("a").alias("id"), F.lit(True).alias("leaked")).distinct()
     third = keep.keep(first_reason(second.join(leaked, "id", "left"), [("contamination", F.col("leaked"))]).drop("leaked"))
-    heads = class_heads(third.where("reason IS NULL").select("id", "label", "tokens"), ["label"])
-    firsts = heads.where("id = head AND size(tokens) > 0")
-    own = firsts.select(F.col("id").alias("a"), F.col("label").alias("la"))
-    links = set_pairs(firsts.select("id", "tokens"), least=duplicate).join(own, "a").join(own.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").where("la = lb").select("a", "b")
-    copies = heads.where("id <> head AND size(tokens) > 0").select("id")
+    firsts, copies = classes(third.where("reason IS NULL AND size(tokens) > 0").select("id", "label", "tokens"), ["label"])
+    links = set_pairs(firsts, least=duplicate, within="label").select("a", "b")
+    copies = copies.select("id")
     repeated = greedy_dropped(links).unionByName(copies).distinct().withColumn("repeated", F.lit(True))
     last = first_reason(third.join(repeated, "id", "left"), [("near_duplicate", F.col("repeated"))])
     tier = F.when(F.coalesce("n", F.lit(0)) == 0, "SYNTHETIC_ONLY").when(F.col("n") == 1, "SINGLE_REAL_ANCHOR").otherwise("REAL_ANCHORED")

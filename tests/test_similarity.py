@@ -40,6 +40,27 @@ def test_set_pairs(spark, least):
     assert similarity.set_pairs(a.limit(0)).count() == 0
 
 
+def test_pairs_that_share_a_rare_token_only_do_not_reach_the_whole_sets(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "x", ["rare", *(f"t{i}x{j}" for j in range(9))]) for i in range(200)] + [(200, "x", [f"t0x{j}" for j in range(9)] + ["rare", "o"]), (201, "y", [f"t1x{j}" for j in range(9)] + ["rare"])], "id long, label string, tokens array<string>")
+    sent = []
+    verified = similarity.F.array_intersect
+    counted = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: counted.add(1) or x, "array<string>").asNondeterministic()
+    monkeypatch.setattr(similarity.F, "array_intersect", lambda x, y: sent.append(1) or verified(seen(x), y))
+    got = [(r.a, r.b) for r in similarity.set_pairs(rows, within="label").collect()]
+    assert got == [(0, 200)] and sent and counted.value < 100
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    x = [rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(40)]
+    x += [np.r_[a[:280], rng.integers(0, 2**63, 9).astype(np.uint64)] for a in x]
+    bits = similarity.sketches(np.repeat(np.arange(80), [len(a) for a in x]), np.concatenate(x), 80).view(np.uint64)
+    apart = lambda i, j: int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+    assert all(apart(i, j) <= len(set(x[i].tolist()) ^ set(x[j].tolist())) for i in range(80) for j in range(80))
+    assert min(apart(i, j) for i in range(40) for j in range(i)) > 300 / 4.5
+
+
 def greedy(links):
     gone = set()
     for b in sorted({b for _, b in links}):
