@@ -6,12 +6,21 @@ ever formed. Ranks order by the score rounded to nine places, then by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.session import stored
 
 EVERY = 50
+#: Terms whose document frequency goes to the tasks.
+FREQUENT = 1 << 17
 
 
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,6 +37,97 @@ def tfidf(tf: DataFrame, n: DataFrame) -> DataFrame:
     return w.select("doc_id", "term", (F.col("w") / size).alias("w"))
 
 
+class Weighted(NamedTuple):
+    """Weights before they are brought to unit length: ``near`` has ``doc_id, terms, raw`` in rows of documents, ``far`` has ``doc_id, term, raw`` of rare terms."""
+
+    near: DataFrame
+    far: DataFrame
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``doc_id, terms, tf``: a document's different terms stay in its row; only rows that share an id meet."""
+    rows = docs.select("doc_id", S.tokens("text").alias("w")).where("size(w) > 0")
+    several = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")  # few, as its files tell
+    same = rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.flatten(F.collect_list("w")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("w")
+            flat = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+            keys, tf = np.unique(row * len(flat.dictionary) + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            yield lists(batch.column("doc_id"), keys // len(flat.dictionary), terms=flat.dictionary.take(pa.array(keys % len(flat.dictionary))), tf=pa.array(tf))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.join(several, "doc_id", "left_anti").unionByName(same).mapInArrow(run, f"doc_id {kind}, terms array<string>, tf array<long>")
+
+
+def lists(ids: pa.Array, row: np.ndarray, **values: pa.Array) -> pa.RecordBatch:
+    """Values of each row, in order of rows, as lists."""
+    ends = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([ids, *(pa.ListArray.from_arrays(ends, v) for v in values.values())], ["doc_id", *values])
+
+
+def weighted(docs: DataFrame) -> Weighted:
+    """Tf-idf of ``doc_id, text`` with what is frequent weighed inside the rows: only rare terms are shuffled to their frequency.
+
+    The ``FREQUENT`` most frequent terms, which are most of a text, have theirs in every task.
+    """
+    n = docs.count()
+    rows = stored(counted(docs), "counts")
+    df = stored(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    top = df.orderBy(F.desc("df"), "term").limit(FREQUENT).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((top.column("term").combine_chunks(), top.column("df").to_numpy()))
+
+    def split(frequent: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, often = sent.value
+        terms, tf = batch.column("terms").flatten(), batch.column("tf").flatten()
+        at = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), batch.column("terms").value_lengths().to_numpy(zero_copy_only=False))
+        some = np.nonzero((at >= 0) == frequent)[0]
+        found = {"df": pa.array(often[at[some]])} if frequent else {}
+        return lists(batch.column("doc_id"), row[some], terms=terms.take(pa.array(some)), tf=tf.take(pa.array(some)), **found)
+
+    def weight(tf: Column, df: Column) -> Column:
+        return (1 + F.ln(tf)) * (F.ln((1 + F.lit(n)) / (1 + df)) + 1)
+
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, terms array<string>, tf array<long>"
+    near = rows.mapInArrow(lambda batches: (split(True, b) for b in batches), f"{kind}, df array<long>")
+    far = rows.mapInArrow(lambda batches: (split(False, b) for b in batches), kind)
+    far = far.select("doc_id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
+    return Weighted(near.select("doc_id", "terms", F.zip_with("tf", "df", weight).alias("raw")), far.join(df, "term").select("doc_id", "term", weight(F.col("tf"), F.col("df")).alias("raw")))
+
+
+def lengths(w: Weighted) -> DataFrame:
+    """``doc_id, n, size, top, total`` of the raw weights of each document, from one row of ``near`` and the sums of ``far``."""
+    total = lambda f: F.aggregate("raw", F.lit(0.0), lambda s, x: s + f(x))
+    near = w.near.select("doc_id", F.size("raw").cast("long").alias("n"), total(lambda x: x * x).alias("squares"), F.array_max("raw").alias("top"), total(lambda x: x).alias("total"))
+    far = w.far.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("raw") * F.col("raw")).alias("squares"), F.max("raw").alias("top"), F.sum("raw").alias("total"))
+    both = near.unionByName(far).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sqrt(F.sum("squares")).alias("size"), F.max("top").alias("top"), F.sum("total").alias("total"))
+    return both.where("n > 0")
+
+
+def best_terms(w: Weighted, k: int, least: int) -> DataFrame:
+    """``doc_id, term, rank`` of the k terms of most weight with ``least`` characters or more, ties at nine places by the term.
+
+    A row's frequent terms are cut to what could be among its best before they leave it; the margin is wider than any tie.
+    """
+    long = w.near.select("doc_id", F.filter(F.arrays_zip("terms", "raw"), lambda x: F.length(x["terms"]) >= least).alias("x"))
+    floor = F.coalesce(F.get(F.sort_array(F.col("x.raw"), asc=False), F.lit(k - 1)), F.lit(0.0)) * (1 - 1e-3)
+    near = long.withColumn("floor", floor).select("doc_id", F.explode(F.filter("x", lambda x: x["raw"] >= F.col("floor"))).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.raw").alias("raw"))
+    rows = near.unionByName(w.far.where(F.length("term") >= least)).join(lengths(w).select("doc_id", "size"), "doc_id")
+    own = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("raw") / F.col("size"), 9)), "term")
+    return rows.select("doc_id", "term", F.row_number().over(own).cast("long").alias("rank")).where(F.col("rank") <= k)
+
+
+def weights_by_label(w: Weighted, labels: DataFrame, least: int) -> DataFrame:
+    """``label, term, s``: sums of unit-length weights over the documents of each label (``doc_id, label``), for terms of ``least`` characters or more."""
+    sizes = stored(lengths(w).join(labels, "doc_id").select("doc_id", "label", "size"), "sizes")
+    near = w.near.join(sizes, "doc_id").select("label", "size", F.explode(F.arrays_zip("terms", "raw")).alias("x")).select("label", F.col("x.terms").alias("term"), (F.col("x.raw") / F.col("size")).alias("w"))
+    far = w.far.join(sizes, "doc_id").select("label", "term", (F.col("raw") / F.col("size")).alias("w"))
+    return near.unionByName(far).where(F.length("term") >= least).groupBy("label", "term").agg(F.sum("w").alias("s"))
+
+
 def cosine(weights: DataFrame, every: int = EVERY) -> DataFrame:
     """``query_id, doc_id, score`` of pairs that share a term."""
     queries = weights.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("q"))

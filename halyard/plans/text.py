@@ -131,7 +131,8 @@ def sc11_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WEIGHTS + " SELECT doc_id, count(*) AS n, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM weights GROUP BY 1")
 def sc12_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("w"), 6).alias("top"), F.round(F.sum("w"), 6).alias("total"))
+    found = R.lengths(R.weighted(docs(spark, sf_dir)))
+    return found.select("doc_id", "n", *(F.round(F.col(c) / F.col("size"), 6).alias(c) for c in ("top", "total")))
 
 
 @query(COSINE + f", b AS (SELECT query_id, cosine.doc_id, score + CASE WHEN q.source = d.source THEN 0.08 ELSE 0 END + CASE WHEN q.lang = d.lang THEN 0.05 ELSE 0 END AS score FROM cosine JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = cosine.doc_id) SELECT query_id, doc_id, round(score, 6) AS score, {RANK} AS rank FROM b WHERE score >= 0.2 QUALIFY rank <= 5")
@@ -179,7 +180,7 @@ def ag31_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ag37_distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = docs(spark, sf_dir).select("doc_id", "lang")
     sizes = labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sums = weights(spark, sf_dir).where(F.length("term") > 3).join(labels, "doc_id").groupBy("lang", "term").agg(F.sum("w").alias("s"))
+    sums = R.weights_by_label(R.weighted(docs(spark, sf_dir)), labels.withColumnRenamed("lang", "label"), 4).withColumnRenamed("label", "lang")
     means = sums.join(sizes, "lang").select("lang", "term", F.round(F.col("s") / F.col("n"), 9).alias("w"))
     own = Window.partitionBy("lang").orderBy(F.desc("w"), "term")
     return means.withColumn("rank", F.row_number().over(own).cast("long")).where("rank <= 18").withColumn("w", F.round("w", 6))
@@ -187,8 +188,7 @@ def ag37_distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WEIGHTS + " SELECT doc_id, term, rank FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM weights WHERE length(term) > 2) WHERE rank <= 3")
 def pl21_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 9)), "term")
-    return weights(spark, sf_dir).where(F.length("term") > 2).select("doc_id", "term", F.row_number().over(own).cast("long").alias("rank")).where("rank <= 3")
+    return R.best_terms(R.weighted(docs(spark, sf_dir)), 3, 3)
 
 
 @query("WITH n AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, round(1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)), 6) AS ratio FROM n x JOIN n y ON x.a < y.a WHERE 1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)) >= 0.6")

@@ -247,3 +247,28 @@ def test_weight_grid_is_spread_after_labels_meet(spark):
 
     plan = registry.QUERIES["pl10_weight_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode") < plan.index("collect_list")  # the plan's root is its first line
+
+
+def test_weights_in_rows_equal_the_joined_ones(spark, monkeypatch):
+    from halyard.operators import retrieval as R
+
+    monkeypatch.setattr(R, "FREQUENT", 3)  # so that some terms are near and some far
+    docs = spark.createDataFrame([(1, "common word one common", "a"), (2, "common word two", "a"), (2, "two more of it", "b"), (3, "common stock", None), (4, "", "a"), (5, None, "a"), (6, "lone", "b")], "doc_id long, text string, lang string")
+    old = {(r.doc_id, r.term): r.w for r in R.tfidf(R.terms(docs), docs.agg(F.count(F.lit(1)).alias("n"))).collect()}
+    w = R.weighted(docs)
+    assert {len(r.terms) for r in w.near.collect()} > {0} and w.far.count() > 0
+    sums = {r.doc_id: r for r in R.lengths(w).collect()}
+    assert sums.keys() == {i for i, _ in old}
+    for i, r in sums.items():
+        own = [x for (d, _), x in old.items() if d == i]
+        assert r.n == len(own) and abs(r.top / r.size - max(own)) < 1e-12 and abs(r.total / r.size - sum(own)) < 1e-12
+    best = {(r.doc_id, r["rank"]): r.term for r in R.best_terms(w, 2, 3).collect()}
+    want = {(i, k + 1): t for i in sums for k, t in enumerate(sorted((t for d, t in old if d == i and len(t) > 2), key=lambda t: (-round(old[i, t], 9), t))[:2])}
+    assert best == want
+    got = {(r.label, r.term): r.s for r in R.weights_by_label(w, docs.select("doc_id", F.col("lang").alias("label")), 4).collect()}
+    want = {}
+    for r in docs.collect():
+        for (i, t), x in old.items():
+            if i == r.doc_id and len(t) > 3:
+                want[r.lang, t] = want.get((r.lang, t), 0) + x
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
