@@ -270,12 +270,9 @@ u AS (SELECT *, CAST(('0x' || substr(sha256(concat_ws('|', '17', row_id, replica
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def pl15_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paired bootstrap of the accuracy difference of two models, by Poisson weights from a hash of row and replicate."""
-    from halyard.functions.scalars import uniform
-
     rows = decided(spark, sf_dir).join(second_model(spark, sf_dir), "row_id")
     gain = (F.col("other") == F.col("truth")).cast("int") - (F.col("predicted") == F.col("truth")).cast("int")
-    spread = rows.select("row_id", gain.alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("replicate"))
-    means = spread.withColumn("w", D.poisson(uniform("row_id", "replicate", seed=17))).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
+    means = D.drawn(rows.select("row_id", gain.alias("gain")), "row_id", 50, 17).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
 
 

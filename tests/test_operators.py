@@ -272,3 +272,16 @@ def test_weights_in_rows_equal_the_joined_ones(spark, monkeypatch):
             if i == r.doc_id and len(t) > 3:
                 want[r.lang, t] = want.get((r.lang, t), 0) + x
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_draw_is_hashed_once(spark):
+    rows = spark.range(5).withColumn("gain", F.lit(1))
+    means = D.drawn(rows, "id", 3, 17).groupBy("replicate").agg((F.sum(F.col("w") * F.col("gain")) / F.sum("w")).alias("m"))
+    assert plan_of(means).count("sha2(") == 1
+    want = {(i, k): D.drawn(spark.createDataFrame([(i,)], "id long"), "id", 3, 17).where(F.col("replicate") == k).first().w for i in (0, 4) for k in (1, 3)}
+    got = {(r.id, r.replicate): r.w for r in D.drawn(rows, "id", 3, 17).collect()}
+    assert len(got) == 15 and all(got[k] == v for k, v in want.items())
