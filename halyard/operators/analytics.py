@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import scalars as S
+from halyard.session import stored
 from halyard.operators import prefix
 
 DIMENSIONS = ("service", "category", "priority", "final_line")
@@ -138,7 +139,8 @@ def route_prior(tickets: DataFrame, least: int = 3) -> DataFrame:
     enough = counts.groupBy("category").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     lines = tickets.select("final_line").distinct().agg(F.sort_array(F.collect_set("final_line")).alias("lines"))
     spine = enough.join(F.broadcast(lines)).select("category", "total", F.size("lines").alias("k"), F.explode("lines").alias("final_line"))
-    return spine.join(counts, ["category", "final_line"], "left").select("category", "final_line", ((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("k"))).alias("prior"))
+    prior = spine.join(counts, ["category", "final_line"], "left").select("category", "final_line", ((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("k"))).alias("prior"))
+    return stored(prior, "prior")  # its files tell joins that it is small, so that rows are not dealt by category
 
 
 def routed(rows: DataFrame, model: DataFrame, likely: DataFrame, prior: DataFrame, share: float = 0.45) -> DataFrame:
@@ -172,7 +174,7 @@ def category_evidence(rows: DataFrame, facets: list[str], k: int, confirmed: str
     cells = cells.select(*facets, "category", F.round(w / F.pow("n", F.lit(len(facets) - 1)), 9).alias("w"))
     cell = Window.partitionBy(*facets)
     top = cells.select(*facets, "category", (F.col("w") / F.sum("w").over(cell)).alias("weight"), F.row_number().over(cell.orderBy(F.desc("w"), "category")).alias("i")).where(F.col("i") <= k)
-    likely = top.groupBy(*facets).agg(F.collect_list(F.struct("category", "weight")).alias("likely"))
+    likely = stored(top.groupBy(*facets).agg(F.collect_list(F.struct("category", "weight")).alias("likely")), "likely")
     sure = F.col("source_hash") == confirmed
     found = F.when(sure, F.array(F.struct("category", F.lit(1.0).alias("weight")))).otherwise(F.col("likely"))
     joined = rows.join(likely, facets, "left").select("request_id", F.when(sure, "confirmed_category").otherwise("category_topk").alias("mode"), F.explode(found).alias("x"))

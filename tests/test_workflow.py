@@ -99,3 +99,15 @@ def test_gate_and_front(spark):
     runs = spark.createDataFrame([(1, 0.5, 0.5, 0.5), (2, 0.6, 0.5, 0.5), (3, 0.6, 0.4, 0.9), (4, 0.5, 0.5, 0.5)], "id long, a double, b double, c double")
     got = {r.id: (r.better, r.front) for r in D.front(runs, ["a", "b", "c"], F.col("id") == 1).collect()}
     assert got == {1: (False, False), 2: (True, True), 3: (False, True), 4: (False, False)}
+
+
+def test_evidence_does_not_deal_rows_by_facets(spark):
+    rows = spark.range(0, 2000, 1, 4).selectExpr("id AS request_id", "concat('s', id % 5) AS service", "concat('p', id % 3) AS priority", "concat('c', id % 7) AS category", "concat('l', id % 2) AS final_line", "'import' AS source_hash")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        likely = A.category_evidence(rows, ["service", "priority"], 2)
+        plan = likely.join(A.route_prior(rows), "category")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(service" not in plan and "hashpartitioning(category" not in plan
