@@ -209,3 +209,22 @@ def test_dense_scores_in_tasks(spark, monkeypatch):
     every = {(i, j) for i in range(90) for j in range(i + 1, 90) if labels[i] == labels[j] and round(v[i] @ v[j], 9) >= 0.2}
     assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(every)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is shuffled
+
+
+def test_search_holds_bounded_scores(spark, monkeypatch):
+    class Small(dense.Nearest):
+        def offer(self, active, ids, rows):
+            if len(active) * len(ids) > 5 * 16:
+                raise ValueError("too many scores at once")
+            dense.Nearest.offer(self, active, ids, rows)
+
+    v = unit(90, 6, 4)
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    index = dense.build(rows, 4)
+    monkeypatch.setattr(dense, "QUERIES", 5, raising=False)
+    monkeypatch.setattr(dense, "ROWS", 16)
+    monkeypatch.setattr(dense, "Nearest", Small)
+    got = {(r.query_id, r["rank"]): r.doc_id for r in dense.top_k(index, rows, 3).collect()}
+    scores = np.round(v @ v.T, 9)
+    want = {(i, k + 1): j for i in range(90) for k, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-scores[i, j], j))[:3])}
+    assert got == want
