@@ -285,3 +285,17 @@ def test_a_draw_is_hashed_once(spark):
     want = {(i, k): D.drawn(spark.createDataFrame([(i,)], "id long"), "id", 3, 17).where(F.col("replicate") == k).first().w for i in (0, 4) for k in (1, 3)}
     got = {(r.id, r.replicate): r.w for r in D.drawn(rows, "id", 3, 17).collect()}
     assert len(got) == 15 and all(got[k] == v for k, v in want.items())
+
+
+def test_label_weights_do_not_deal_rows_by_label(spark):
+    from halyard.operators import learning as L
+
+    rows = spark.range(40).select(F.col("id").alias("vec_id"), (F.col("id") % 3).cast("double").alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = L.balanced(rows, "label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert L.classifier("svc", 4, 3).getParallelism() > 1
