@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +45,30 @@ def ex08_label_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.stacked_labels(models)
 
 
+def shares(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``features`` in place of ``w``, buckets below ``size``: the share of each; null for each where ``w`` is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column("w")
+            n = pc.fill_null(w.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cell = np.repeat(np.arange(batch.num_rows) * size, n) + w.flatten().to_numpy(zero_copy_only=False)
+            share = np.bincount(cell, minlength=batch.num_rows * size) / np.repeat(np.maximum(n, 1), size)
+            values = pa.array(share, mask=np.repeat(w.is_null().to_numpy(zero_copy_only=False), size))
+            features = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size), values)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), features], [*kept, "features"])
+
+    kept = [c for c in rows.columns if c != "w"]
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "w").mapInArrow(run, f"{fields}, features array<double>")
+
+
 def hashed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, segment, label, features``: shares of hashed words of each document, its source and its language."""
     words = F.transform(S.tokens("text"), lambda w: F.pmod(F.xxhash64(w), F.lit(HASHED)))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("segment"), "lang", words.alias("w"))
-    share = F.transform(F.sequence(F.lit(0), F.lit(HASHED - 1)), lambda i: F.size(F.filter("w", lambda x: x == i)) / F.greatest(F.size("w"), F.lit(1)))
-    return rows.select("id", "segment", (F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1).cast("int").alias("label"), share.alias("features"))
+    label = (F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1).cast("int")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("segment"), label.alias("label"), words.alias("w"))
+    return shares(rows, HASHED)
 
 
 @query()

@@ -228,3 +228,23 @@ def test_search_holds_bounded_scores(spark, monkeypatch):
     scores = np.round(v @ v.T, 9)
     want = {(i, k + 1): j for i in range(90) for k, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-scores[i, j], j))[:3])}
     assert got == want
+
+
+def test_limits_from_a_sample_leave_few_rows(spark):
+    """Ties and copies among them; before, the first rows that a task met were all sorted, in full precision."""
+    v = np.repeat(unit(1500, 8, 7), 2, axis=0)
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    index = dense.build(rows, 4)
+    asked = {r.vec_id: r.floor for r in dense.floors(index, rows.where("vec_id % 100 = 0"), 5).collect()}
+    scores = np.round(v @ v.T, 9)
+    np.fill_diagonal(scores, -np.inf)
+    assert all(-np.inf < floor <= np.sort(scores[q])[-5] for q, floor in asked.items()) and len(asked) == 30
+    ids = np.array(sorted(asked))
+    best = dense.Nearest(ids, v[ids], 5, np.array([asked[i] for i in ids]))
+    sorted_at_once = []
+    best_keep = best.keep
+    best.keep = lambda query, doc, score, met: (sorted_at_once.append(len(query)), best_keep(query, doc, score, met))
+    for start in range(0, 3000, 500):
+        best.offer(np.arange(30), np.arange(start, start + 500), v[start : start + 500])
+    want = [(q, j) for q in range(30) for j in sorted(range(3000), key=lambda j: (-scores[ids[q], j], j))[:5]]
+    assert list(zip(best.query.tolist(), best.doc.tolist())) == want and max(sorted_at_once) < 30 * 500 / 20

@@ -115,3 +115,12 @@ def test_boosted_trees_beat_a_forest_on_many_categories(spark):
     tested = forest.transform(ready.where("label IS NULL"))
     other = tested.where("prediction = y").count() / tested.count()
     assert own > 0.8 and own > other, (own, other)
+
+
+def test_hashed_words_are_counted_once(spark):
+    """Shares of buckets, nulls for a null text; before, a row's words were gone over once for each bucket."""
+    from halyard.plans import trained
+
+    rows = spark.createDataFrame([(1, [0, 2, 2, 1]), (2, []), (3, None)], "id long, w array<long>")
+    got = {r.id: r.features for r in trained.shares(rows, 3).collect()}
+    assert got == {1: [0.25, 0.25, 0.5], 2: [0.0, 0.0, 0.0], 3: [None, None, None]}
