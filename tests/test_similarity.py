@@ -248,3 +248,25 @@ def test_limits_from_a_sample_leave_few_rows(spark):
         best.offer(np.arange(30), np.arange(start, start + 500), v[start : start + 500])
     want = [(q, j) for q in range(30) for j in sorted(range(3000), key=lambda j: (-scores[ids[q], j], j))[:5]]
     assert list(zip(best.query.tolist(), best.doc.tolist())) == want and max(sorted_at_once) < 30 * 500 / 20
+
+
+@pytest.mark.parametrize("known", [1 << 20, 7, 0])
+def test_index_of_texts_equals_joins(spark, monkeypatch, known):
+    """Known and rare terms, a row a document; before, each document's terms were shuffled one by one, several times."""
+    from halyard.operators import lexical
+    from halyard.operators import retrieval as R
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(d, " ".join(rng.choices(words, [1 / (i + 1) for i in range(50)], k=rng.randint(0, 30)))) for d in range(80)] + [(80, None), (7, "w1 w49 only"), (81, "once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lexical, "KNOWN", known)
+    texts = lexical.read(docs, 10)
+    tf = R.terms(docs)
+    want = {"cosine": R.cosine(R.tfidf(tf, docs.agg(F.count(F.lit(1)).alias("n"))), 10), "bm25": R.bm25(tf, 10)}
+    for name, scores in want.items():
+        index = getattr(lexical, name)(texts)
+        found = {(r.query_id, r.doc_id): r.score for r in lexical.top_k(index, 100).collect()}
+        exact = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+        assert found.keys() == exact.keys() and all(abs(found[p] - exact[p]) < 2e-6 for p in exact) and len(exact) > 300
+    assert {c for c, kind in texts.rows.dtypes if kind.startswith("array")} == {"facets", "terms", "tf", "df"}  # no weight is stored
