@@ -270,3 +270,43 @@ def test_index_of_texts_equals_joins(spark, monkeypatch, known):
         exact = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
         assert found.keys() == exact.keys() and all(abs(found[p] - exact[p]) < 2e-6 for p in exact) and len(exact) > 300
     assert {c for c, kind in texts.rows.dtypes if kind.startswith("array")} == {"facets", "terms", "tf", "df"}  # no weight is stored
+
+
+def test_copies_are_linked_like_others(spark, monkeypatch, tmp_path):
+    """Every pair of documents counts, those of two copies too; before, copies were linked to the first of them only."""
+    from halyard.plans import registry
+
+    monkeypatch.setattr(similarity, "COPIES", 2)
+    texts = {**{i: "a b c d e f g h i" for i in (1, 4, 6, 9, 12)}, **{i: "i h g f e d c b a j" for i in (2, 3, 5)}, 7: "a b c d e f g h k", 8: "x y", 10: "y x x", 11: None}
+    rows = [(i, "fr" if i == 12 else "en", t) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.a, r.b, r.similarity) for r in registry.QUERIES["jn15_set_similarity"](spark, str(tmp_path)).collect()]
+    lang = {i: x for i, x, _ in rows}
+    sets = {i: set(t.split()) for i, t in texts.items() if t}
+    want = [(i, j, round(jaccard(sets[i], sets[j]), 6)) for i in sorted(sets) for j in sorted(sets) if i < j and lang[i] == lang[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    assert sorted(got) == want and len(want) > 25
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_tokens_of_many_rows_meet_in_blocks(spark, monkeypatch, least):
+    for name, value in (("BLOCK", 8), ("PAIRS", 16), ("SKETCHES", 4), ("TOKENS_AT_ONCE", 64)):
+        monkeypatch.setattr(similarity, name, value)
+    left, right = random_sets(120, 3), random_sets(50, 4)
+    a, b = (spark.createDataFrame(x, "id long, tokens array<string>").repartition(3) for x in (left, right))
+    got = sorted((r.a, r.b) for r in similarity.set_pairs(a, least=least).collect())
+    assert got == [(i, j) for i, x in left for j, y in left if i < j and x and y and jaccard(x, y) >= least]
+    both = sorted((r.a, r.b) for r in similarity.set_pairs(a, b, least).collect())
+    assert both == [(i, j) for i, x in left for j, y in right if x and y and jaccard(x, y) >= least]
+
+
+def test_large_false_pairs_are_refused_where_they_meet(spark):
+    """Sets of 1,500 tokens with rare ones in common; before, their sketches of 384 bits let whole sets be sent for them."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(3000)]
+    rows = [(i, rng.sample(common, 1200) + [f"r{(i * 7 + j * j) % 900}" for j in range(300)]) for i in range(60)]
+    rows = [(i, sorted(set(x))) for i, x in rows] + [(60, sorted({*rows[0][1][20:], "o"}))]
+    frame = spark.createDataFrame(rows, "id long, tokens array<string>").selectExpr("id", "'a' AS side", "0 AS within", "tokens")
+    parts = similarity.prefixes(frame, 0.8).repartition(1).sortWithinPartitions("s")
+    batches = similarity.whole_groups(iter(parts.toArrow().combine_chunks().to_batches(500)))
+    met = {tuple(sorted((r["a"], r["b"]))) for batch in batches for out in similarity.pairs_of(batch, 0.8, False) for r in out.to_pylist()}
+    assert (0, 60) in met and len(met) < 5
