@@ -303,15 +303,20 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
     return top.groupBy("label").agg(F.array_sort(F.collect_list("token")).alias("terms"))
 
 
-def target_rank(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``id, rank, margin``: where the row's label stands among all profiles by shared terms, and its lead over the best other."""
+def with_rank(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with ``rank`` and ``margin``: where the row's label stands among all profiles by shared terms, and its lead over the best other; null where ``reason`` is not."""
     labels = known.agg(F.collect_list(F.struct(F.col("label"), F.col("terms"))).alias("known"))
     scores = F.transform("known", lambda k: F.struct((-F.size(F.array_intersect(k["terms"], F.col("tokens"))) / F.size(k["terms"])).alias("s"), k["label"].alias("label")))
-    ranked = rows.join(F.broadcast(labels)).select("id", "label", F.array_sort(scores).alias("scores"))
+    ranked = rows.join(F.broadcast(labels)).withColumn("scores", F.when(F.col("reason").isNull(), F.array_sort(scores)))
     place = F.array_position(F.col("scores.label"), F.col("label"))
-    own = F.element_at("scores", F.greatest(place, F.lit(1)).cast("int"))["s"]
-    other = F.when(place == 1, F.try_element_at("scores", F.lit(2))["s"]).otherwise(F.element_at("scores", 1)["s"])
-    return ranked.where(place > 0).select("id", place.cast("int").alias("rank"), F.coalesce(other - own, F.lit(1.0)).alias("margin"))
+    own = F.try_element_at("scores", F.greatest(place, F.lit(1)).cast("int"))["s"]
+    other = F.when(place == 1, F.try_element_at("scores", F.lit(2))["s"]).otherwise(F.try_element_at("scores", F.lit(1))["s"])
+    return ranked.withColumns({"rank": F.when(place > 0, place.cast("int")), "margin": F.when(place > 0, F.coalesce(other - own, F.lit(1.0)))}).drop("scores", "known")
+
+
+def target_rank(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, rank, margin`` of the rows whose label has a profile."""
+    return with_rank(rows.withColumn("reason", F.lit(None).cast("string")), known).where("rank IS NOT NULL").select("id", "rank", "margin")
 
 
 def cascade(
@@ -333,17 +338,20 @@ def cascade(
     fail a check do not take part in later ones. A null label is unknown; null tokens count as none.
     """
     rows = rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    known = rows.join(support, "label", "left").withColumn("known", F.col("n").isNotNull())
+    known = rows.join(F.broadcast(support), "label", "left").withColumn("known", F.col("n").isNotNull())  # a row a label; rows are not dealt by label
     first = first_reason(known, [("unknown_label", ~F.col("known")), ("length", ~F.coalesce(F.col("n_words").between(*words), F.lit(False)))])
     keep = Rounds(rows.sparkSession)
-    first = keep.keep(first.select("id", "label", "tokens", "n", "reason"))
-    open_ = first.where("reason IS NULL")
-    ranks = target_rank(open_, profiles(open_, profile))
-    second = first.join(ranks, "id", "left")
-    second = keep.keep(first_reason(second, [("label_mismatch", (F.col("rank") > worst_rank) | (F.col("margin") < least_margin))]))
+    tokens = F.when(F.col("reason").isNull(), F.col("tokens")).alias("tokens")  # those of other rows are not looked at again
+    first = keep.keep(first.select("id", "label", tokens, "n", "reason"))
+    keep.turn()
+    second = with_rank(first, profiles(first.where("reason IS NULL"), profile))
+    second = first_reason(second, [("label_mismatch", (F.col("rank") > worst_rank) | (F.col("margin") < least_margin))])
+    second = keep.keep(second.select("id", "label", tokens, "n", "reason", "rank", "margin"))
+    keep.turn()  # the first table is no longer read
     open_ = second.where("reason IS NULL").select("id", "label", "tokens")
-    leaked = set_pairs(open_.select("id", "tokens"), real.select("id", "tokens"), contamination).select(F.col("a").alias("id"), F.lit(True).alias("leaked")).distinct()
-    third = keep.keep(first_reason(second.join(leaked, "id", "left"), [("contamination", F.col("leaked"))]).drop("leaked"))
+    leaked = set_pairs(open_.select("id", "tokens"), real.select("id", "tokens"), contamination).select(F.col("a").alias("id")).distinct()
+    leaked = few(keep.keep(leaked), KEYS).withColumn("leaked", F.lit(True))
+    third = first_reason(second.join(leaked, "id", "left"), [("contamination", F.col("leaked"))]).drop("leaked")
     firsts, copies = classes(third.where("reason IS NULL AND size(tokens) > 0").select("id", "label", "tokens"), ["label"])
     links = set_pairs(firsts, least=duplicate, within="label").select("a", "b")
     copies = copies.select("id")

@@ -310,3 +310,12 @@ def test_large_false_pairs_are_refused_where_they_meet(spark):
     batches = similarity.whole_groups(iter(parts.toArrow().combine_chunks().to_batches(500)))
     met = {tuple(sorted((r["a"], r["b"]))) for batch in batches for out in similarity.pairs_of(batch, 0.8, False) for r in out.to_pylist()}
     assert (0, 60) in met and len(met) < 5
+
+
+def test_ranks_stay_in_their_rows(spark):
+    """Before, whole sets were joined by id with their ranks, and dealt by label."""
+    rows = spark.createDataFrame([(1, "a", ["x", "y"], None), (2, "b", ["x", "y"], None), (3, "b", None, "length")], "id long, label string, tokens array<string>, reason string")
+    known = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x", "z"])], "label string, terms array<string>")
+    found = similarity.with_rank(rows, known)
+    assert {r.id: (r.rank, r.margin) for r in found.collect()} == {1: (1, 0.5), 2: (2, -0.5), 3: (None, None)}
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
